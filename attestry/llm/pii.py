@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.secrets import SPAN_TYPE, SPANS, joined
+from attestry.llm.secrets import SPAN_TYPE, SPANS, count_kind, joined
 from attestry.llm.shared import column, free_name, text_map
 
 #: In the order in which they are listed; the base kinds come first.
@@ -366,5 +366,5 @@ def digest(docs: DataFrame) -> DataFrame:
     found, s = find(docs.select("doc_id", "text")), F.col("pii")
     base = F.filter(s, lambda x: x["kind"].isin(*BASE_KINDS))
     return found.select("doc_id", "pii", base.alias("base")).select(
-        "doc_id", *[F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans")
+        "doc_id", *[count_kind(F.col("base"), k) for k in BASE_KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans")
     )

@@ -335,9 +335,12 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def count_kind(spans, kind: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns."""
     found, s = scan(docs.select("doc_id", "text")), F.col("secrets")
     base = F.filter(s, lambda x: x["kind"].isin(*[r.kind for r in BASE]))
-    counts = [F.size(F.filter(s, lambda x, k=r.kind: x["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(s).alias("spans"))
+    return found.select("doc_id", *[count_kind(s, r.kind) for r in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(s).alias("spans"))
