@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import json
 import struct
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -33,8 +34,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from attestry.llm.shared import column, text_map
+from attestry.llm.shared import column, ship, text_map
 
 #: Fixed value: Unicode's white space, as the pre-splitter of byte-level vocabularies takes it.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -236,11 +238,8 @@ def round_trip(df: DataFrame, text: str = "text", out: str = "bpe", path: str |
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """Adds the text of a binary column of ids; null and empty ids give the empty text."""
-    from collections.abc import Iterator
-
-    from pyspark.sql.functions import arrow_udf
-
     spec = _spec(df, path)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         a = automaton(spec.value)

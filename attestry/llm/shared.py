@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import weakref
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +26,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Hands this package to the Python workers once for each Spark context, so that executors need no copy of it."""
+    spark = spark or SparkSession.active()
+    context = spark.sparkContext
+    if context in _shipped:
+        return
+    package = Path(__file__).parents[1]
+    target = Path(tempfile.mkdtemp(prefix="attestry-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context)
+
+
 def column(name: str) -> Column:
     """A column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -49,6 +70,7 @@ def text_map(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str):
         for batch in batches:
             yield apply(batch)
 
+    ship()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = arrow_udf(run, kind)
     return lambda text: udf(F.coalesce(text.cast("string"), F.lit("")))

@@ -80,12 +80,13 @@ def cuts(raw: np.ndarray, breaks: np.ndarray, inside: np.ndarray) -> Iterator[tu
         lo = hi
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray | None = None, stem: int = 0) -> tuple[np.ndarray, ...]:
     """(start, end, hash) of every maximal run of bytes marked in ``inside``; runs end at the ends of texts.
 
-    ``fold`` maps bytes before hashing (lower-casing, for example).
+    ``fold`` maps bytes before hashing (lower-casing, for example). With ``stem``
+    a fourth array has the hash of each word's first ``stem`` bytes, 0 for shorter words.
     """
-    starts, ends, hashes = [], [], []
+    starts, ends, hashes, stems = [], [], [], []
     for lo, hi in cuts(raw, offsets, inside):
         part = raw[lo:hi]
         on = inside[part]
@@ -107,11 +108,12 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.nda
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
             hashes.append(mix((total[e] - total[s]) * down[s]))
+            if stem:
+                stems.append(np.where(e - s >= stem, mix((total[np.minimum(s + stem, e)] - total[s]) * down[s] + np.uint64(1)), np.uint64(0)))
         starts.append(s + lo)
         ends.append(e + lo)
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+    kinds = (np.int64, np.int64, np.uint64, np.uint64)[: 4 if stem else 3]
+    return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip((starts, ends, hashes, stems), kinds, strict=False))
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
