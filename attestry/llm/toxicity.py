@@ -114,10 +114,10 @@ class Model:
     scale: float
     weights: np.ndarray
 
-    def found(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, int, float, float]]]]:
-        """For each text its words and its segments with p-values."""
+    def found(self, texts: pa.Array) -> list[tuple[int, float, list[tuple[int, int, float, float]]]]:
+        """For each text its words, the evidence of its different tokens (each counted once), and its segments with p-values."""
         raw, offsets = textbuf.buffers(texts)
-        out: list[tuple[int, list[tuple[int, int, float, float]]]] = []
+        out: list[tuple[int, float, list[tuple[int, int, float, float]]]] = []
         for i, j in textbuf.doc_groups(offsets):
             word, stem, first = _tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             value = self._look(word)
@@ -129,8 +129,9 @@ class Model:
             for d in range(j - i):
                 n = int(first[d + 1] - first[d])
                 a, b = edge[d], edge[d + 1]
+                kinds = float(value[place[a:b]][np.unique(word[place[a:b]], return_index=True)[1]].sum())
                 found = segments((place[a:b] - first[d]).tolist(), value[place[a:b]].tolist()) if b > a else []
-                out.append((n, [(s, e, x, -math.expm1(-min(50.0, self.scale * n * math.exp(-self.decay * x)))) for s, e, x in found]))
+                out.append((n, kinds, [(s, e, x, -math.expm1(-min(50.0, self.scale * n * math.exp(-self.decay * x)))) for s, e, x in found]))
         return out
 
     def _look(self, tokens: np.ndarray) -> np.ndarray:
@@ -139,14 +140,14 @@ class Model:
         at = np.searchsorted(self.word, tokens).clip(max=len(self.word) - 1)
         return np.where(self.word[at] == tokens, self.score[at], np.nan)
 
-    def features(self, n: int, found: list[tuple[int, int, float, float]]) -> list[float]:
-        """Best calibrated segment, sum over the significant ones, their number, and the total evidence, each on a logarithmic scale."""
+    def features(self, kinds: float, found: list[tuple[int, int, float, float]]) -> list[float]:
+        """Best calibrated segment, sum over the significant ones, their number, the total evidence and that of different tokens, most on a logarithmic scale."""
         surprise = [-math.log(max(p, 1e-12)) for *_, p in found]
         strong = [x for x in surprise if x >= -math.log(SIGNIFICANT)]
-        return [max(surprise, default=0.0), math.log1p(sum(strong)), math.log1p(len(strong)), math.log1p(sum(x for *_, x, _ in found)), math.log1p(len(found))]
+        return [max(surprise, default=0.0), math.log1p(sum(strong)), math.log1p(len(strong)), math.log1p(sum(x for *_, x, _ in found)), math.log1p(kinds)]
 
-    def probability(self, n: int, found: list[tuple[int, int, float, float]]) -> float:
-        z = float(np.dot(self.weights[:-1], self.features(n, found)) + self.weights[-1])
+    def probability(self, kinds: float, found: list[tuple[int, int, float, float]]) -> float:
+        z = float(np.dot(self.weights[:-1], self.features(kinds, found)) + self.weights[-1])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -181,10 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
         classes += [r[1] for r in part]
     y = np.array(classes, float)
     # K by the mean of K n exp(-lambda S) over best segments of clean documents, which is 1 for extreme values of this kind.
-    chance = [n * math.exp(-model.decay * max(x for *_, x, _ in f)) for (n, f), c in zip(found, classes, strict=True) if f and not c]
+    chance = [n * math.exp(-model.decay * max(x for *_, x, _ in f)) for (n, _, f), c in zip(found, classes, strict=True) if f and not c]
     model.scale = 1 / max(1e-9, float(np.mean(chance))) if len(chance) >= 20 else 0.1
-    found = [(n, [(s, e, x, -math.expm1(-min(50.0, model.scale * n * math.exp(-model.decay * x)))) for s, e, x, _ in f]) for n, f in found]
-    model.weights = labelled.logistic(np.array([model.features(n, f) for n, f in found]).reshape(-1, 5), y)
+    found = [(k, [(s, e, x, -math.expm1(-min(50.0, model.scale * n * math.exp(-model.decay * x)))) for s, e, x, _ in f]) for n, k, f in found]
+    model.weights = labelled.logistic(np.array([model.features(k, f) for k, f in found]).reshape(-1, 5), y)
     return model
 
 
@@ -210,9 +211,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
 
         def apply(batch: pa.Array) -> pa.Array:
             found = m.found(batch)
-            spans = [[{"start": s, "stop": e, "score": x, "p_value": p} for s, e, x, p in f if p <= SIGNIFICANT] for _, f in found]
+            spans = [[{"start": s, "stop": e, "score": x, "p_value": p} for s, e, x, p in f if p <= SIGNIFICANT] for _, _, f in found]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
-            return pa.StructArray.from_arrays([pa.array([m.probability(n, f) for n, f in found], pa.float64()), pa.array(spans, kind)], ["score", "segments"])
+            return pa.StructArray.from_arrays([pa.array([m.probability(k, f) for _, k, f in found], pa.float64()), pa.array(spans, kind)], ["score", "segments"])
 
         return apply
 
