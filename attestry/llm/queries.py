@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe, decontam, pii, quality, secrets, toxicity
+from attestry.llm import bpe, decontam, pii, quality, secrets, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(_read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -38,7 +42,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_quality, op4_secrets, op7_pii, op8_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_secrets, op7_pii, op8_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
