@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe, decontam, pii, quality, secrets, simhash, toxicity
+from attestry.llm import bpe, decontam, embeddings, pii, quality, secrets, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.digest(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_read(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_secrets, op7_pii, op8_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_secrets, op6_embeddings, op7_pii, op8_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
