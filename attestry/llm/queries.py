@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe, decontam, embeddings, pii, quality, secrets, simhash, toxicity
+from attestry.llm import bpe, chat, decontam, embeddings, pii, quality, secrets, simhash, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_read(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(_read(spark, sf_dir, "pages"))
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.digest(_read(spark, sf_dir, "embeddings"))
 
@@ -41,13 +45,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_read(spark, sf_dir, "conversations"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_secrets, op6_embeddings, op7_pii, op8_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_secrets, op5_urls, op6_embeddings, op7_pii, op8_decontamination, op9_chat, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_urls": urls.ORACLE_SQL}
