@@ -10,7 +10,7 @@ from attestry.operators import relational as R
 from attestry.plans.catalog import register
 from attestry.sources.tables import table
 
-AS_OF = "2024-06-01 00:00:00"
+AS_OF = "2024-02-15 00:00:00"
 
 
 @register("scan_project_filter", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars > 1000")
