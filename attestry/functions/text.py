@@ -83,3 +83,8 @@ def year_month(date: Column) -> Column:
     number = F.regexp_extract(date, r"\b(0?[1-9]|1[0-2])\b", 1)
     m = F.when(month > 0, month).when(number != "", F.try_to_number(number, F.lit("99")).cast("long")).otherwise(6)
     return F.when(date.isNull() | low.isin("present", "current", "now", ""), 9999 * 12).when(year == "", 0).otherwise(F.expr("0") + year.try_cast("long") * 12 + m).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row, also where ``body`` uses it in the lambdas of array functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -65,21 +65,25 @@ def keyword_overlap(body, terms: list[str]):
 def phrase_proximity(body, terms: list[str], window: int = 20):
     """4 x share of the terms that occur + 1 / (1 + span) + 1.5 for a span within the window; span: the least stretch that holds all terms that occur."""
     wanted = F.array(*[F.lit(t) for t in terms])
-    tok = T.tokens(body)
-    found = F.array_intersect(wanted, tok)
-    # Only places of terms enter the fold. It keeps the last place of each term that occurs; where all are known, a stretch ends here and begins at the least of them.
-    places = F.filter(F.transform(tok, lambda x, i: F.struct(F.array_position(found, x).cast("int").alias("term"), i.alias("at"))), lambda x: x["term"] > 0)
-    start = F.struct(F.transform(found, lambda t: F.lit(-1)).alias("last"), F.lit(1 << 30).alias("span"))
 
     def step(s, x):
         last = F.transform(s["last"], lambda p, i: F.when(i + 1 == x["term"], x["at"]).otherwise(p))
         low = F.array_min(last)
         return F.struct(last.alias("last"), F.when(low >= 0, F.least(s["span"], x["at"] - low)).otherwise(s["span"]).alias("span"))
 
-    n = F.size(found)
-    span = F.aggregate(places, start, step, lambda s: s["span"])
-    share = 4.0 * n / len(terms)
-    return F.when(n == 0, 0.0).when(n == 1, share).otherwise(share + 1 / (1 + span) + F.when(span <= window, 1.5).otherwise(0.0))
+    def scored(places, found):
+        # Only places of terms enter the fold. It keeps the last place of each term that occurs; where all are known, a stretch ends here and begins at the least of them.
+        start = F.struct(F.transform(found, lambda t: F.lit(-1)).alias("last"), F.lit(1 << 30).alias("span"))
+        n = F.size(found)
+        span = F.aggregate(places, start, step, lambda s: s["span"])
+        share = 4.0 * n / len(terms)
+        return F.when(n == 0, 0.0).when(n == 1, share).otherwise(T.let(span, lambda w: share + 1 / (1 + w) + F.when(w <= window, 1.5).otherwise(0.0)))
+
+    def placed(tok):
+        places = lambda found: F.filter(F.transform(tok, lambda x, i: F.struct(F.array_position(found, x).cast("int").alias("term"), i.alias("at"))), lambda x: x["term"] > 0)
+        return T.let(F.array_intersect(wanted, tok), lambda found: T.let(places(found), lambda p: scored(p, found)))
+
+    return T.let(T.tokens(body), placed)
 
 
 def blended(scored: DataFrame) -> DataFrame:
