@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import weakref
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Hands this package to the Python workers once for each Spark context, so that executors need no copy of it."""
+    spark = spark or SparkSession.active()
+    context = spark.sparkContext
+    if context in _shipped:
+        return
+    package = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="attestry-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context)
+
 
 def local_session(cores: int = 8, name: str = "attestry") -> SparkSession:
     """A UTC, adaptive session on one machine with few shuffle partitions."""
