@@ -30,9 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.secrets import SPAN_TYPE, SPANS, count_kind, joined
+from attestry.llm.secrets import count_kind, joined
 from attestry.llm.shared import column, free_name, text_map
 
+#: ``base`` marks spans of the base patterns; the model proposes spans of all kinds.
+SPANS = "array<struct<kind:string,start:long,stop:long,base:boolean>>"
+SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("base", pa.bool_())]))
 #: In the order in which they are listed; the base kinds come first.
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 BASE_KINDS = KINDS[:4]
@@ -326,12 +329,18 @@ def model() -> Model:
 
 
 def find(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """Adds ``out``: every span (kind, start, stop) of the whole text."""
+    """Adds ``out``: every span (kind, start, stop, base) of the whole text."""
     held = df.sparkSession.sparkContext.broadcast(model())  # a few thousand weights
 
     def make():
         m = held.value
-        return lambda batch: pa.array([[{"kind": k, "start": s, "stop": e} for s, e, k in m.spans(t.as_py())] for t in batch], SPAN_TYPE)
+
+        def one(text: str) -> list[dict]:
+            found = m.spans(text)
+            own = set(base_spans(text)) if found else ()
+            return [{"kind": k, "start": s, "stop": e, "base": (s, e, k) in own} for s, e, k in found]
+
+        return lambda batch: pa.array([one(t.as_py()) for t in batch], SPAN_TYPE)
 
     return df.withColumn(out, text_map(make, SPANS)(column(text)))
 
@@ -362,9 +371,9 @@ def mask(df: DataFrame, text: str = "text", length: str | None = "n_chars") -> D
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The query's columns."""
+    """The query's columns; counts and digest are those of the base spans."""
     found, s = find(docs.select("doc_id", "text")), F.col("pii")
-    base = F.filter(s, lambda x: x["kind"].isin(*BASE_KINDS))
+    base = F.filter(s, lambda x: x["base"])
     return found.select("doc_id", "pii", base.alias("base")).select(
         "doc_id", *[count_kind(F.col("base"), k) for k in BASE_KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans")
     )
