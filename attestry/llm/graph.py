@@ -37,8 +37,8 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
 
     Whole cells are gathered from the sorted partition, a batch at a time; at
     most one cell, of some 2 PIECE rows, waits for its end. verify gets the
-    columns and two index arrays. Binary columns of equal sizes arrive as rows
-    of unsigned 64-bit integers.
+    columns and two index arrays. Binary columns arrive as rows of unsigned
+    64-bit integers, shorter values filled up with zeros.
     """
     ship(rows.sparkSession)
     placed = cells(rows)
@@ -49,7 +49,9 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
         for name in names:
             c = table[name].combine_chunks()
             if pa.types.is_binary(c.type):
-                raw = np.frombuffer(b"".join(c.to_pylist()), np.uint64)
+                values = c.to_pylist()
+                width = max(map(len, values), default=0)
+                raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in values), np.uint64)
                 out[name] = raw.reshape(len(c), -1)
             else:
                 out[name] = c.to_numpy(zero_copy_only=False)
