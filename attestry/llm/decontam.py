@@ -231,10 +231,27 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The query's columns."""
     found = search_benchmark(docs.select("doc_id", "text"), benchmark.select("item_id", F.col("text")))
     ids, f = item_ids(F.col("found")), F.col("found")
-    return found.select("doc_id", f["n_words"].alias("n_words"), hit_words(f).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.size(f["hits"]) > 0).alias("contaminated"), F.coalesce(F.array_max(F.transform(f["matches"], lambda m: m["n_words"])), F.lit(0).cast("long")).alias("longest_match"))
+    return found.select("doc_id", f["n_words"].alias("n_words"), hit_words(f).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.size(f["hits"]) > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents in which no window of any item occurs; columns as given."""
     found = free_name(docs, "found")
     return search_benchmark(docs, benchmark, text, out=found).filter(F.size(column(found)["hits"]) == 0).drop(found)
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Every window of every document against every window of every item.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, size, w[p : p + size - 1] AS x FROM (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT doc_id, size, p, w[p : p + size - 1] AS x FROM (SELECT doc_id, w, size, unnest(range(1, greatest(1, len(w) - size + 2))) AS p FROM d, sizes)),
+hit AS (SELECT doc_id, p, size, item FROM dw JOIN iw USING (size, x)),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS k FROM (SELECT DISTINCT doc_id, p, size FROM hit)) GROUP BY 1),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN names USING (doc_id)
+"""

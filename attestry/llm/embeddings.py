@@ -130,3 +130,15 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", key: str = "vec_
 def digest(vectors: DataFrame) -> DataFrame:
     """The query's columns."""
     return near_duplicates(vectors.select("vec_id", "embedding")).withColumnRenamed("id", "vec_id")
+
+
+#: All pairs, and components by recursion; for tables that allow it.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.ok AND b.ok AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(node, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT node, l.b FROM reach JOIN l ON reach.other = l.a),
+c AS (SELECT node AS vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
