@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -55,6 +57,11 @@ def split_pattern(letter: str, digit: str, other: str) -> str:
     return rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?{other}+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
+def latin_class(kind: str) -> str:
+    """The signs below U+0250 whose general category begins so, for a class of the standard library's regexes."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
 #: Entries in each worker's tables. A full table of words becomes the old one and a new one begins, so frequent words stay; results don't depend on it.
 CACHED_WORDS, CACHED_STEPS = 250_000, 1_000_000
 
@@ -91,6 +98,10 @@ class Automaton:
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.later = regex.compile(f"[{LATER}]")
+        # Texts of signs below U+0250 take the standard library's engine, four times as fast with the same classes.
+        letter, digit, space = latin_class("L"), latin_class("N"), r"\t-\r\x20\x85\xa0"
+        self.beyond = re.compile("[\u0250-\U0010ffff]")
+        self.latin_split = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
         self.plain_split = regex.compile(split_pattern(r"\p{L}", r"\p{N}", rf"[^{_SPACE}\p{{L}}\p{{N}}]"))
         self.exact_split = regex.compile(split_pattern(rf"[\p{{L}}--[{LATER}]]", rf"[\p{{N}}--[{LATER}]]", rf"[[^{_SPACE}\p{{L}}\p{{N}}]||[{LATER}]]"), regex.V1)
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -185,7 +196,9 @@ class Automaton:
 
     def pieces(self, text: str) -> list[str]:
         """The pre-split words; together they are the text."""
-        split = self.plain_split if text.isascii() or not self.later.search(text) else self.exact_split
+        if not self.beyond.search(text):
+            return self.latin_split.findall(text)
+        split = self.exact_split if self.later.search(text) else self.plain_split
         return split.findall(text)
 
     def decode(self, ids: bytes) -> str:
