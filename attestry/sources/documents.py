@@ -36,7 +36,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(name, length, media_type, checksum, text) of text files; bytes that are no UTF-8 are dropped."""
     files = spark.read.format("binaryFile").load(path).withColumn("name", safe_name(F.element_at(F.split("path", "/"), -1)))
     kept, _ = accepted(files)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "�", "")
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return kept.select("name", "length", media_type(F.col("name")).alias("media_type"), F.sha2("content", 256).alias("checksum"), text.alias("text"))
 
 

@@ -80,3 +80,26 @@ def test_entry_works_without_the_subpackage(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 20
+
+
+def test_stream_chunks_each_document_once(spark, tmp_path):
+    from attestry.streaming.intake import chunk_stream
+
+    text = " ".join(["One two three four five."] * 5)
+    for k in range(2):
+        spark.createDataFrame([(k, text)], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/in")
+        chunk_stream(spark, f"{tmp_path}/in", "doc_id long, text string", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(*map(str, (tmp_path / "out").glob("epoch=*")))
+    assert sorted(r[0] for r in got.groupBy("doc_id").count().filter("count = 2").collect()) == [0, 1]
+
+
+def test_document_intake(spark, tmp_path):
+    from attestry.sources import documents as D
+
+    (tmp_path / "a b.txt").write_bytes(b"caf\xc3\xa9 \xff end")
+    (tmp_path / "x.exe").write_bytes(b"no")
+    got = D.read_texts(spark, str(tmp_path)).collect()
+    assert [(r.name, r.media_type, r.text) for r in got] == [("a_b.txt", "text/plain", "café  end")]
+    (tmp_path / "gold.csv").write_bytes(b'\xef\xbb\xbfid,skills\n1,"[""a"",\n""b""]"\n')
+    gold = D.read_gold(spark, str(tmp_path / "gold.csv"))
+    assert gold.columns == ["id", "skills"] and gold.first().skills == '["a",\n"b"]'
