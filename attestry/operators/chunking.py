@@ -13,7 +13,8 @@ from attestry.functions import text as T
 
 def windows(items: Column, size: int, stride: int) -> Column:
     """Slices of ``size`` items, ``stride`` apart; the last may be shorter, no start lies beyond the end."""
-    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(1), F.size(items), F.lit(stride)), lambda i: F.slice(items, i, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+    cut = lambda xs: F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(stride)), lambda i: F.slice(xs, i, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+    return T.let(items, cut)
 
 
 def sentence_windows(df: DataFrame, text: str, size: int = 3, stride: int = 2, least: int = 8) -> DataFrame:
