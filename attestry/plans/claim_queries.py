@@ -170,12 +170,6 @@ def greedy_cluster(spark, d):
     return O.greedy_clusters(spark.sql(f"SELECT * FROM {NAMES}"), "profile", "id", "name", 0.9)
 
 
-@register("greedy_bipartite")
-def greedy_bipartite(spark, d):
-    rows = "(VALUES (1,'a','x',0.9),(1,'a','y',0.95),(1,'b','y',0.94),(1,'b','x',0.5),(2,'a','x',0.2)) AS t(id, gold, found, score)"
-    return O.greedy_matches(spark.sql(f"SELECT id, gold, found, CAST(score AS DOUBLE) AS score FROM {rows}"), "id", "gold", "found", "score", 0.4)
-
-
 @register("seq_ratio_pairs")
 def seq_ratio_pairs(spark, d):
     n = spark.sql(f"SELECT * FROM {NAMES}")
