@@ -121,3 +121,27 @@ def formatted(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn
     line = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("body"))
     packed = ordered.groupBy("conv", "block").agg(F.count("*").alias("n_messages"), F.sum("n_linked").cast("long").alias("n_linked"), F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("l"))
     return packed.select(F.col("conv").alias(conv), "block", "n_messages", "n_linked", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("chat"))
+
+
+#: The same rows in DuckDB's SQL: units are joined by their text, and roots are the least turn of a chain of parents, which always lead back.
+ORACLE_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS row, conv_id AS conv, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+split AS (SELECT row, conv, turn, regexp_split_to_array(text, '\r?\n') AS lines FROM m WHERE contains(text, '>')),
+l AS (SELECT row, conv, turn, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+p AS (SELECT row, conv, turn, pos, length(replace(regexp_extract(line, '^( ?>)+'), ' ', '')) AS level, regexp_replace(line, '^( ?>)+ ?', '') AS line FROM l),
+own AS (SELECT row, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), '') AS body FROM p GROUP BY row),
+said AS (SELECT m.row, conv, turn, role, trim(regexp_replace(coalesce(own.body, text), '^\s+|\s+$', '', 'g')) AS body FROM m LEFT JOIN own USING (row)),
+stepped AS (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY row ORDER BY pos) IS DISTINCT FROM level THEN 1 ELSE 0 END AS new FROM p),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY pos) AS run FROM stepped),
+q AS (SELECT conv, turn, level, 1 AS whole, string_agg(line, ' ' ORDER BY pos) AS unit FROM runs WHERE level > 0 GROUP BY row, conv, turn, level, run UNION ALL SELECT conv, turn, level, 0, line FROM runs WHERE level > 0),
+quoted AS (SELECT conv, turn, level, whole, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit FROM q),
+u AS (SELECT conv, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n\s*\n'), regexp_split_to_array(body, '\n'))) AS unit FROM said WHERE turn IS NOT NULL),
+first_said AS (SELECT conv, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit, min(turn) AS origin FROM u GROUP BY ALL),
+link AS (SELECT q.conv, q.turn, arg_max(origin, struct_pack(a := -level, b := whole, c := length(q.unit), d := origin)) AS parent, sum(whole)::BIGINT AS n_linked
+ FROM quoted AS q JOIN first_said AS f ON q.conv IS NOT DISTINCT FROM f.conv AND q.unit = f.unit AND q.unit <> '' AND origin < q.turn GROUP BY ALL),
+chain AS (SELECT conv, turn, parent AS up FROM link UNION SELECT c.conv, c.turn, link.parent FROM chain AS c JOIN link ON c.conv IS NOT DISTINCT FROM link.conv AND c.up = link.turn),
+top AS (SELECT conv, turn, min(up) AS root FROM chain GROUP BY ALL),
+whole AS (SELECT s.conv, s.role, s.body, s.turn, coalesce(top.root, s.turn) AS root, coalesce(link.n_linked, 0) AS n_linked FROM said AS s LEFT JOIN link ON s.conv IS NOT DISTINCT FROM link.conv AND s.turn = link.turn LEFT JOIN top ON s.conv IS NOT DISTINCT FROM top.conv AND s.turn = top.turn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY root NULLS FIRST, turn NULLS FIRST, role, body) - 1 AS place FROM whole)
+SELECT conv AS conv_id, place // 32 AS block, count(*) AS n_messages, sum(n_linked)::BIGINT AS n_linked, string_agg('<|' || role || '|>' || chr(10) || body, chr(10) ORDER BY place) AS chat FROM placed GROUP BY 1, 2
+"""

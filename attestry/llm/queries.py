@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_urls": urls.ORACLE_SQL, "op6_embeddings": embeddings.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL}
+    return {"op5_urls": urls.ORACLE_SQL, "op6_embeddings": embeddings.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
