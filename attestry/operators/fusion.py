@@ -116,3 +116,19 @@ def merged_education(claims: DataFrame) -> DataFrame:
         "review_reason": F.when(conflict, "degree_wording_conflict"), "status": F.when(conflict, "review").otherwise("merged"), "canonical_key": F.concat(F.lit("education:"), T.lookup_key(F.coalesce("institution", "degree", value))),
         "canonical_value": F.coalesce(F.nullif(value, F.lit("")), F.lit("Education entry")),
     }).drop("degrees")
+
+
+def merged_items(claims: DataFrame, kind: str) -> DataFrame:
+    """One row for each (profile, cluster) of projects or certifications (``kind``): the first value of each field, the longest summary (of equally long ones the first), all technologies, highlights and links. A project without a name is called by its summary's first six words."""
+    first = lambda name: F.min_by(F.col(name), F.when(F.col(name) != "", F.col("position"))).alias(name)
+    longest = F.max_by(F.col("summary"), F.when(F.col("summary") != "", F.struct(F.length("summary"), -F.col("position"))))
+    rows = _whole(claims).groupBy("profile", "cluster").agg(
+        *[first(x) for x in ("name", "issuer", "organization", "location", "start_date", "end_date")], longest.alias("summary"), *[first_of_equal(F.flatten(in_order(F.col(x)))).alias(x) for x in ("technologies", "highlights", "links")],
+        first_of_equal(in_order(F.col("document"))).alias("documents"), F.max("quality").alias("confidence"),
+    )
+    project = kind == "project"
+    if project:
+        rows = rows.withColumn("name", F.coalesce("name", F.substring_index("summary", " ", 6)))
+    value = _joined(" · ", F.col("name"), F.col("summary" if project else "issuer"))
+    empty = "Project" if project else "Certification"
+    return rows.withColumns({"status": F.lit("merged"), "canonical_key": F.concat(F.lit(f"{kind}:"), T.lookup_key(F.coalesce("name", value))), "canonical_value": F.coalesce(F.nullif(value, F.lit("")), F.lit(empty))})

@@ -59,3 +59,25 @@ def claim_keys(spark, d):
         pick("a", "education").alias("degree"), pick("b", "education").alias("institution"), pick("b", "projects").alias("summary"), pick("b", "certifications").alias("issuer"), pick("a", "public_profiles").alias("url"),
     )
     return U.claim_key(claims)
+
+
+ITEMS = "(VALUES (1,1,1,'a',0.7,'Log Reader','','Reads logs','Go;SQL','x.dev'),(1,1,2,'b',0.9,'log reader','','Reads logs quickly and well','sql;Redis',''),(1,2,3,'a',0.5,'','','Makes maps of old towns by hand','',''),(2,1,4,'c',0.5,'','Board','','',''),(2,2,5,'c',0.4,'','','','','')) AS t(profile, cluster, position, document, quality, name, issuer, summary, technologies, links)"
+
+
+@register(
+    "project_merge",
+    f"""WITH u AS (SELECT profile, cluster, position, n, parts[n] AS v FROM (SELECT *, string_split(technologies, ';') AS parts, unnest(range(1, 1 + len(string_split(technologies, ';')))) AS n FROM {ITEMS})),
+    k AS (SELECT profile, cluster, lower(v) AS l, min(struct_pack(position, n, t := v)) AS o FROM u WHERE v <> '' GROUP BY 1, 2, 3), t AS (SELECT profile, cluster, string_agg(o.t, ';' ORDER BY o) AS technologies FROM k GROUP BY 1, 2),
+    g AS (SELECT profile, cluster, arg_min(name, position) FILTER (name <> '') AS named, arg_max(summary, struct_pack(a := length(summary), b := -position)) FILTER (summary <> '') AS summary, max(quality)::DOUBLE AS confidence FROM {ITEMS} GROUP BY 1, 2),
+    m AS (SELECT *, coalesce(named, array_to_string(string_split(summary, ' ')[1:6], ' ')) AS name FROM g)
+    SELECT profile, cluster, name, summary, coalesce(technologies, '') AS technologies, confidence, 'merged' AS status, 'project:' || coalesce(lower(name), '') AS canonical_key, coalesce(nullif(concat_ws(' · ', name, summary), ''), 'Project') AS canonical_value FROM m LEFT JOIN t USING (profile, cluster)""",
+)
+def project_merge(spark, d):
+    claims = spark.sql(f"SELECT * FROM {ITEMS}").withColumns({"technologies": F.split("technologies", ";"), "links": F.split("links", ";"), "quality": F.col("quality").cast("double")})
+    return U.merged_items(claims, "project").select("profile", "cluster", "name", "summary", F.array_join("technologies", ";").alias("technologies"), "confidence", "status", "canonical_key", "canonical_value")
+
+
+@register("certification_merge", f"SELECT profile, cluster, arg_min(name, position) FILTER (name <> '') AS name, arg_min(issuer, position) FILTER (issuer <> '') AS issuer, max(quality)::DOUBLE AS confidence, 'certification:' || lower(coalesce(arg_min(name, position) FILTER (name <> ''), arg_min(issuer, position) FILTER (issuer <> ''), '')) AS canonical_key FROM {ITEMS} GROUP BY 1, 2")
+def certification_merge(spark, d):
+    claims = spark.sql(f"SELECT * FROM {ITEMS}").drop("technologies", "links").withColumn("quality", F.col("quality").cast("double"))
+    return U.merged_items(claims, "certification").select("profile", "cluster", "name", "issuer", "confidence", "canonical_key")
