@@ -37,8 +37,9 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
 
     Whole cells are gathered from the sorted partition, a batch at a time; at
     most one cell, of some 2 PIECE rows, waits for its end. verify gets the
-    columns and two index arrays. Binary columns arrive as rows of unsigned
-    64-bit integers, shorter values filled up with zeros.
+    columns and two index arrays, all calls for a batch with the same columns.
+    Binary columns arrive as rows of unsigned 64-bit integers, shorter values
+    filled up with zeros; lists as (values, offsets).
     """
     ship(rows.sparkSession)
     placed = cells(rows)
@@ -53,6 +54,8 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
                 width = max(map(len, values), default=0)
                 raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in values), np.uint64)
                 out[name] = raw.reshape(len(c), -1)
+            elif pa.types.is_list(c.type):
+                out[name] = c.values.to_numpy(), c.offsets.to_numpy()
             else:
                 out[name] = c.to_numpy(zero_copy_only=False)
         return out
@@ -101,9 +104,9 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
     return placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, kind)
 
 
-def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, id) that connect what the pairs (a, b) connect: one for each row that isn't the first of its tree."""
-    label = np.arange(len(ids))
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the rows that the pairs (a, b) connect with each of ``n`` rows."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
         before = label.copy()
@@ -111,7 +114,12 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
         np.minimum.at(label, b, low)
         label = label[label]
         if (label == before).all():
-            break
+            return label
+
+
+def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, id) that connect what the pairs (a, b) connect: one for each row that isn't the first of its tree."""
+    label = least_reached(len(ids), a, b)
     on = np.flatnonzero(label != np.arange(len(ids)))
     return ids[on], ids[label[on]]
 

@@ -12,7 +12,9 @@ have more than two to the power of the bits left out.
 
 Wide search (several words): every block of ``BLOCK`` bits is a bucket key, and
 pairs that share one are verified on all bits. A pair of similarity s shares
-some block with a probability that the README gives.
+some block with a probability that the README gives. ``keep_one`` takes such
+pairs for candidates only: within what they connect, the exact similarity of
+the sets of shingles decides.
 
 Equal fingerprints are one class before any bucket is made, so copies, however
 many, are compared once. Within buckets ``graph`` compares bounded pieces and
@@ -41,6 +43,10 @@ from attestry.llm.shared import column, cut, free_name, text_map
 SEED = 42
 #: Bits of a block in wide search, and blocks in a word.
 BLOCK, PER_WORD = 14, 4
+#: The pipeline's similarity, as a fraction: SHARED / PARTS.
+SHARED, PARTS = 4, 5
+#: Hashes whose pairs are counted out at a time.
+COUNTED = 1 << 21
 #: The pipeline's fingerprints: nine words, and as many differing bits as texts of similarity 0.8 have (87 on average), and a standard deviation more.
 WIDE, WIDE_DISTANCE = 9, 96
 
@@ -102,6 +108,84 @@ def fingerprint(text: Column, size: int, words: int = 1) -> Column:
     return text_map(make, "binary")(text)
 
 
+def sketch(text: Column, size: int, words: int) -> Column:
+    """The whole text's fingerprint as ``print``, and as ``same`` 16 bytes that only texts of equal sets of shingles share."""
+
+    def make():
+        def apply(batch: pa.Array) -> pa.Array:
+            raw, offsets = textbuf.buffers(batch)
+            prints, same = [], []
+            for i, j in textbuf.doc_groups(offsets):
+                hashes = [shingle_hashes(raw[offsets[k] : offsets[k + 1]].tobytes(), size) for k in range(i, j)]
+                prints += [x.tobytes() for x in fingerprints(hashes, words)]
+                same += [xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes]
+            return pa.StructArray.from_arrays([pa.array(prints, pa.binary()), pa.array(same, pa.binary())], ["print", "same"])
+
+        return apply
+
+    return text_map(make, "struct<print:binary,same:binary>")(text)
+
+
+def shingle_set(text: Column, size: int) -> Column:
+    """The hashes of the whole text's distinct shingles, as an array of longs."""
+
+    def make():
+        def apply(batch: pa.Array) -> pa.Array:
+            raw, offsets = textbuf.buffers(batch)
+            sets = [np.unique(shingle_hashes(raw[i:j].tobytes(), size)).view(np.int64) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            return lists(sets)
+
+        return apply
+
+    return text_map(make, "array<long>")(text)
+
+
+def lists(rows: list[np.ndarray]) -> pa.Array:
+    """An array of lists of longs."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), pa.int64()))
+
+
+def alike(distance: int):
+    """Verification by the exact Jaccard similarity of sets of shingles.
+
+    Pairs beyond the Hamming distance, and pairs that verified ones connect
+    already, are not counted out, so a large group of near copies costs little
+    more than one comparison a row.
+    """
+    near = close(distance)
+
+    def verify(c: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        values, offsets = c["shingles"]
+        if "tree" not in c:
+            c["tree"] = np.arange(len(c["id"]))
+            c["rank"] = np.unique(values[offsets[0] : offsets[-1]], return_inverse=True)[1].astype(np.int64)
+        sizes = np.diff(offsets)
+        at = offsets[:-1].astype(np.int64) - offsets[0]
+        good = (c["tree"][a] != c["tree"][b]) & (PARTS * np.minimum(sizes[a], sizes[b]) >= SHARED * np.maximum(sizes[a], sizes[b]))
+        good[good] = near(c, a[good], b[good])
+        todo = np.flatnonzero(good)
+        total = np.cumsum((sizes[a[todo]] + sizes[b[todo]]).astype(np.int64))
+        lo = 0
+        while lo < len(todo):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + COUNTED, "right")))
+            part = todo[lo:hi]
+            rows = np.concatenate([a[part], b[part]])
+            n = sizes[rows].astype(np.int64)
+            pair = np.repeat(np.tile(np.arange(len(part)), 2), n)
+            key = pair << 32 | c["rank"][np.repeat(at[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            key.sort()
+            both = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=len(part))
+            good[part] = PARTS * both >= SHARED * (n[: len(part)] + n[len(part) :] - both)
+            lo = hi
+        if good.any():
+            tree = c["tree"]
+            c["tree"] = graph.least_reached(len(tree), tree[a[good]], tree[b[good]])[tree]
+        return good
+
+    return verify
+
+
 def close(distance: int):
     """Verification by Hamming distance."""
 
@@ -154,14 +238,24 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, words: in
 def keep_one(docs: DataFrame, size: int = 5, words: int = WIDE, distance: int = WIDE_DISTANCE, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest id, of equal ids the first in the table; columns as given.
 
+    Texts are near-duplicates where their sets of shingles have a Jaccard
+    similarity of SHARED / PARTS. Fingerprints find candidates; an edge is what
+    the exact similarity confirms.
+
     Rows are told apart by their place, so ``docs`` must be a table that reads
     the same each time (the pipeline hands each stage a written one).
     """
-    place, print_ = free_name(docs, "place"), "print"
+    place = free_name(docs, "place")
     placed = docs.withColumn(place, F.monotonically_increasing_id())
-    prints = cut(placed.select(column(place).alias("place"), column(doc).alias("doc"), fingerprint(column(text), size, words).alias(print_)))
-    best = prints.groupBy("print").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "place")).alias("best"))
-    kept = best.join(classes(prints, words, distance), "print").groupBy("class").agg(F.min("best").alias("best")).select(F.col("best.place").alias(place))
+    sketched = placed.select(column(place).alias("place"), column(doc).alias("doc"), sketch(column(text), size, words).alias("sketch"))
+    one = F.struct(F.col("doc").isNull().alias("none"), "doc", "place", F.col("sketch.print").alias("print"))
+    best = cut(sketched.groupBy("sketch.same").agg(F.min(one).alias("best")).select(F.xxhash64("same").alias("id"), "best"))
+    keyed = best.select(F.explode(block_keys([_long_at(F.col("best.print"), w) for w in range(words)], distance)).alias("key"), "id", "best.print")
+    near = graph.components(graph.links(keyed, close(distance)))
+    members = cut(best.join(near, F.col("id") == F.col("node")).select(F.col("component").alias("key"), "id", F.col("best.print").alias("print"), F.col("best.place").alias(place)))
+    sets = placed.select(place, column(text).alias("text")).join(members, place).select("key", "id", "print", shingle_set(F.col("text"), size).alias("shingles"))
+    found = graph.components(graph.links(sets, alike(distance)))
+    kept = best.join(found, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id")).agg(F.min("best").alias("best")).select(F.col("best.place").alias(place))
     return placed.join(cut(kept), place, "left_semi").select(*[column(c) for c in docs.columns])
 
 

@@ -183,3 +183,39 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     masked = corpus_pipeline.mask_personal_data(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
     assert masked.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert "joe@" not in masked.filter("doc_id = 203").first().text
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w)} if 0 < len(w) <= 5 else {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def survivors(texts):
+    """The least index of every exact component at 0.8."""
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: a == b or len(a & b) * 5 >= len(a | b) * 4
+    root = union(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if near(sets[i], sets[j])])
+    return sorted(set(root))
+
+
+def kept_ids(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(x.doc_id for x in simhash.keep_one(rows).collect())
+
+
+def tail_changed(r, base, same):
+    """A text of as many words whose first ``same`` words are the base's."""
+    return " ".join(base[:same] + [f"x{r.randint(0, 10**9)}" for _ in range(len(base) - same)])
+
+
+def test_keep_one_keeps_pairs_below_the_similarity(spark, monkeypatch):
+    r = random.Random(9)
+    texts = []
+    for _ in range(60):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(204)]
+        texts += [" ".join(base), tail_changed(r, base, 178)]  # 174 of 200 shingles shared: 0.770
+    assert kept_ids(spark, texts) == survivors(texts) == list(range(120))
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(204)]
+    group = [tail_changed(r, base, 200) for _ in range(60)] + texts[:20]
+    monkeypatch.setattr(graph, "PIECE", 16)  # the group overflows its bucket
+    assert kept_ids(spark, group) == survivors(group) == [0, *range(60, 80)]
