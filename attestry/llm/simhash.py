@@ -12,9 +12,12 @@ have more than two to the power of the bits left out.
 
 Wide search (several words): every block of ``BLOCK`` bits is a bucket key, and
 pairs that share one are verified on all bits. A pair of similarity s shares
-some block with a probability that the README gives. ``keep_one`` takes such
-pairs for candidates only: within what they connect, the exact similarity of
-the sets of shingles decides.
+some block with a probability below one, and lower for texts of few shingles.
+
+``keep_one`` needs every pair of a similarity: buckets are shingles, of each set
+so many that no such pair misses all its buckets, whatever the texts' lengths;
+fingerprints of distinct shingles then reject the pairs that are far apart, and
+within what is left and connected, the exact similarity of the sets decides.
 
 Equal fingerprints are one class before any bucket is made, so copies, however
 many, are compared once. Within buckets ``graph`` compares bounded pieces and
@@ -34,6 +37,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +49,14 @@ SEED = 42
 BLOCK, PER_WORD = 14, 4
 #: The pipeline's similarity, as a fraction: SHARED / PARTS.
 SHARED, PARTS = 4, 5
+#: One of so many texts is looked at for frequent shingles, those that so many of them hold, and so many shingles at most.
+SAMPLED, OFTEN, FREQUENT = 50, 8, 100_000
+#: Shared keys that are broadcast; beyond that many the join is shuffled.
+BROADCAST_SHARED = 1_000_000
 #: Hashes whose pairs are counted out at a time.
 COUNTED = 1 << 21
-#: The pipeline's fingerprints: nine words, and as many differing bits as texts of similarity 0.8 have (87 on average), and a standard deviation more.
-WIDE, WIDE_DISTANCE = 9, 96
+#: The pipeline's fingerprints: nine words, and as many differing bits as sets of similarity 0.8 have at worst (4 of 5 shingles, 108 on average), and six standard deviations more.
+WIDE, WIDE_DISTANCE = 9, 165
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -108,22 +116,51 @@ def fingerprint(text: Column, size: int, words: int = 1) -> Column:
     return text_map(make, "binary")(text)
 
 
-def sketch(text: Column, size: int, words: int) -> Column:
-    """The whole text's fingerprint as ``print``, and as ``same`` 16 bytes that only texts of equal sets of shingles share."""
+def sketch(text: Column, size: int, words: int, often: Broadcast) -> Column:
+    """Of the set of the whole text's shingles: its fingerprint ``print``, 16 bytes ``same`` that only equal sets share, and ``keys``.
+
+    Keys are the set's first hashes, those in ``often`` (sorted) counting as last
+    and the others by their value, and so many that two sets of the similarity
+    have their first common hash among both their keys.
+    """
 
     def make():
+        late = often.value
+
+        def keys(h: np.ndarray) -> np.ndarray:
+            if len(h) < SHARED:
+                return np.zeros(0, np.int64)
+            if len(late):
+                last = late[np.searchsorted(late, h).clip(max=len(late) - 1)] == h
+                h = np.concatenate([h[~last], h[last]])
+            return h[: len(h) + 1 - -(-SHARED * len(h) // PARTS)].view(np.int64)
+
         def apply(batch: pa.Array) -> pa.Array:
             raw, offsets = textbuf.buffers(batch)
-            prints, same = [], []
+            prints, same, chosen = [], [], []
             for i, j in textbuf.doc_groups(offsets):
-                hashes = [shingle_hashes(raw[offsets[k] : offsets[k + 1]].tobytes(), size) for k in range(i, j)]
-                prints += [x.tobytes() for x in fingerprints(hashes, words)]
-                same += [xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes]
-            return pa.StructArray.from_arrays([pa.array(prints, pa.binary()), pa.array(same, pa.binary())], ["print", "same"])
+                sets = [np.unique(shingle_hashes(raw[offsets[k] : offsets[k + 1]].tobytes(), size)) for k in range(i, j)]
+                prints += [x.tobytes() for x in fingerprints(sets, words)]
+                same += [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+                chosen += map(keys, sets)
+            return pa.StructArray.from_arrays([pa.array(prints, pa.binary()), pa.array(same, pa.binary()), lists(chosen)], ["print", "same", "keys"])
 
         return apply
 
-    return text_map(make, "struct<print:binary,same:binary>")(text)
+    return text_map(make, "struct<print:binary,same:binary,keys:array<long>>")(text)
+
+
+def frequent(placed: DataFrame, place: str, text: str, size: int) -> np.ndarray:
+    """Hashes of shingles that many texts of a sample hold, sorted. They only order keys: results don't depend on the sample."""
+    some = placed.filter(F.pmod(F.xxhash64(column(place)), F.lit(SAMPLED)) == 0).select(F.explode(shingle_set(column(text), size)).alias("hash"))
+    found = some.groupBy("hash").count().filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "hash").limit(FREQUENT).collect()
+    return np.sort(np.array([r["hash"] for r in found], np.int64).view(np.uint64))
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows (key, id) whose key more than one id has."""
+    keys = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key"))
+    return keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_SHARED else keys, "key", "left_semi")
 
 
 def shingle_set(text: Column, size: int) -> Column:
@@ -239,19 +276,20 @@ def keep_one(docs: DataFrame, size: int = 5, words: int = WIDE, distance: int =
     """One row of each group of near-duplicates: that of the smallest id, of equal ids the first in the table; columns as given.
 
     Texts are near-duplicates where their sets of shingles have a Jaccard
-    similarity of SHARED / PARTS. Fingerprints find candidates; an edge is what
-    the exact similarity confirms.
+    similarity of SHARED / PARTS. Shared keys and fingerprints find candidates; an
+    edge is what the exact similarity confirms.
 
     Rows are told apart by their place, so ``docs`` must be a table that reads
     the same each time (the pipeline hands each stage a written one).
     """
     place = free_name(docs, "place")
     placed = docs.withColumn(place, F.monotonically_increasing_id())
-    sketched = placed.select(column(place).alias("place"), column(doc).alias("doc"), sketch(column(text), size, words).alias("sketch"))
-    one = F.struct(F.col("doc").isNull().alias("none"), "doc", "place", F.col("sketch.print").alias("print"))
+    often = docs.sparkSession.sparkContext.broadcast(frequent(placed, place, text, size))
+    sketched = placed.select(column(place).alias("place"), column(doc).alias("doc"), sketch(column(text), size, words, often).alias("sketch"))
+    one = F.struct(F.col("doc").isNull().alias("none"), "doc", "place", F.col("sketch.print").alias("print"), F.col("sketch.keys").alias("keys"))
     best = cut(sketched.groupBy("sketch.same").agg(F.min(one).alias("best")).select(F.xxhash64("same").alias("id"), "best"))
-    keyed = best.select(F.explode(block_keys([_long_at(F.col("best.print"), w) for w in range(words)], distance)).alias("key"), "id", "best.print")
-    near = graph.components(graph.links(keyed, close(distance)))
+    shared = cut(shared_keys(best.select(F.explode("best.keys").alias("key"), "id")))
+    near = graph.components(graph.links(shared.join(best.select("id", F.col("best.print").alias("print")), "id"), close(distance)))
     members = cut(best.join(near, F.col("id") == F.col("node")).select(F.col("component").alias("key"), "id", F.col("best.print").alias("print"), F.col("best.place").alias(place)))
     sets = placed.select(place, column(text).alias("text")).join(members, place).select("key", "id", "print", shingle_set(F.col("text"), size).alias("shingles"))
     found = graph.components(graph.links(sets, alike(distance)))

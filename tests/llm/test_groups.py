@@ -219,3 +219,29 @@ def test_keep_one_keeps_pairs_below_the_similarity(spark, monkeypatch):
     group = [tail_changed(r, base, 200) for _ in range(60)] + texts[:20]
     monkeypatch.setattr(graph, "PIECE", 16)  # the group overflows its bucket
     assert kept_ids(spark, group) == survivors(group) == [0, *range(60, 80)]
+
+
+def test_keep_one_finds_every_pair_at_the_similarity(spark):
+    r = random.Random(10)
+    texts = []
+    for n, same in ((8, 8), (9, 9), (10, 10), (19, 16), (104, 93), (204, 183), (504, 450)):
+        for _ in range(40):
+            base = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+            texts += [" ".join(base), " ".join(base) + " more" if same == n else tail_changed(r, base, same)]
+    for k in range(20):
+        line = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(12)) + " "
+        rest = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(104))
+        texts += [line * 2 + rest, line * (10 + 10 * k) + rest]
+    assert kept_ids(spark, texts) == survivors(texts)
+
+
+def test_keep_one_with_a_frequent_line(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    r = random.Random(11)
+    line = " ".join(f"l{k}" for k in range(20))
+    texts = []
+    for _ in range(60):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(r.choice([6, 30, 120]))]
+        texts += [line + " " + " ".join(base), line + " " + tail_changed(r, base, len(base) - r.randint(0, 12) % len(base))]
+    assert 60 <= len(survivors(texts)) < 120
+    assert kept_ids(spark, texts) == survivors(texts)
