@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from attestry.llm.shared import column, ship, text_map
+from attestry.llm.shared import column, free_name, ship, text_map
 
 #: Fixed value: Unicode's white space, as the pre-splitter of byte-level vocabularies takes it.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -263,6 +263,15 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     return df.withColumn(out, arrow_udf(run, "string")(column(ids)))
 
 
+def encoded(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """The documents' columns as given, with ``ids`` (binary, as by ``encode``), ``n_tokens`` and the digests of ids and decoded text."""
+    name = free_name(docs, "bpe")
+    coded = round_trip(docs, text, name, path)
+    part = lambda field: column(name)[field]
+    added = {"ids": part("ids"), "n_tokens": part("n_tokens"), "ids_sha256": F.sha2(part("ids"), 256), "decoded_sha256": F.sha2(part("decoded").cast("binary"), 256)}
+    return coded.select(*[column(c) for c in docs.columns], *[x.alias(free_name(docs, c)) for c, x in added.items()])
+
+
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The query's columns: ids and decoded text of every document as digests."""
     coded = round_trip(docs.select("doc_id", "text"), path=path)

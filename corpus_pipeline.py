@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
 Each stage works on all rows that its predecessor kept and returns the columns
-of documents; the last returns token ids. Empty tables, null texts and repeated
+of documents; the last adds token ids. Empty tables, null texts and repeated
 rows go through as the operators define it.
 """
 
@@ -36,8 +36,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document's text, with their digests."""
-    return bpe.digest(docs)
+    """The documents with the token ids of their texts, and digests of the ids and of the text decoded from them."""
+    return bpe.encoded(docs)
 
 
 STAGES = [

@@ -245,3 +245,22 @@ def test_keep_one_with_a_frequent_line(spark, monkeypatch):
         texts += [line + " " + " ".join(base), line + " " + tail_changed(r, base, len(base) - r.randint(0, 12) % len(base))]
     assert 60 <= len(survivors(texts)) < 120
     assert kept_ids(spark, texts) == survivors(texts)
+
+
+def test_pipeline_returns_documents_and_ids(spark, tmp_path):
+    import hashlib
+
+    import corpus_pipeline
+    from attestry.llm import bpe
+
+    rows = [(1, "Hello there, tokens.", "en", "s", 20), (1, "Grüße an alle \U0001f600", "de", "t", 15), (None, None, None, None, None), (2, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.encode_tokens(spark, docs, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = out.collect()
+    assert sorted(map(repr, (tuple(x)[:5] for x in got))) == sorted(map(repr, rows))
+    vocabulary = bpe.automaton(open(bpe.default_path()).read())
+    for x in got:
+        assert vocabulary.decode(bytes(x.ids)) == (x.text or "") and x.n_tokens == len(x.ids) // 4
+        assert x.ids_sha256 == hashlib.sha256(x.ids).hexdigest() and x.decoded_sha256 == hashlib.sha256((x.text or "").encode()).hexdigest()
+    assert bpe.encoded(docs.withColumnRenamed("lang", "ids")).columns[-4:] == ["ids_", "n_tokens", "ids_sha256", "decoded_sha256"]
