@@ -47,7 +47,7 @@ STAGES = [
     ("pii", mask_personal_data),
     ("bpe", encode_tokens),
 ]
-#: SQL expresses none of the learnt and searched stages; the tests hold run() against a brute-force version.
+#: SQL expresses none of the learnt and searched stages; test_pipeline_equals_a_plain_version compares run()'s whole rows with plain Python (of the learnt classifier, with the true classes of a separable corpus).
 ORACLE_SQL = None
 
 

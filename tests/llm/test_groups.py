@@ -264,3 +264,48 @@ def test_pipeline_returns_documents_and_ids(spark, tmp_path):
         assert vocabulary.decode(bytes(x.ids)) == (x.text or "") and x.n_tokens == len(x.ids) // 4
         assert x.ids_sha256 == hashlib.sha256(x.ids).hexdigest() and x.decoded_sha256 == hashlib.sha256((x.text or "").encode()).hexdigest()
     assert bpe.encoded(docs.withColumnRenamed("lang", "ids")).columns[-4:] == ["ids_", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    import hashlib
+    import re
+
+    import corpus_pipeline
+    from attestry.llm import bpe
+
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
+    changed = lambda base, same: base[:same] + [f"w{r.randint(10_000, 10**6)}" for _ in range(len(base) - same)]
+    good = [words(60) for _ in range(60)]
+    junk = [[x.upper() + "!!" for x in words(60)] for _ in range(40)]
+    item, line = words(20), words(12)
+    for same in (158, 171, 183, 186):  # 0.61, 0.72, 0.81 and 0.83 of 200 shingles
+        for _ in range(8):
+            base = words(204)
+            good += [base, changed(base, same)]
+    for n in (8, 9, 10):
+        for _ in range(8):
+            base = words(n)
+            good += [base, base + words(1)]
+    rest = words(104)
+    good += [line * 2 + rest, line * 40 + rest, words(40) + item[:10] + words(20), words(40) + item[:9] + words(20), words(50) + ["joe@mail.example.org"] + words(9)]
+    texts = [" ".join(x) for x in good]
+    bad = [" ".join(x) for x in junk]
+    docs = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts + bad)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < len(texts)), 0) for i in range(len(docs))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("q", " ".join(item))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    windows = {tuple(item[k : k + 10]) for k in range(11)}
+    expected = []
+    for i in survivors(texts):
+        if any(tuple(good[i][k : k + 10]) in windows for k in range(len(good[i]) - 9)):
+            continue
+        text = re.sub(r"[\w.]+@[\w.]+", "[EMAIL]", texts[i])
+        ids = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        expected.append((i, text, "en", f"s{i % 3}", len(text), ids, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    got = sorted((x.doc_id, x.text, x.lang, x.source, x.n_chars, bytes(x.ids), x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert [x[0] for x in got] == [x[0] for x in expected]
+    assert got == expected
