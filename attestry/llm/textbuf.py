@@ -80,6 +80,21 @@ def cuts(raw: np.ndarray, breaks: np.ndarray, inside: np.ndarray) -> Iterator[tu
         lo = hi
 
 
+def word_values(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+    """(start of every maximal run of bytes marked in ``inside``, the runs' bytes as a binary column); runs end at the ends of texts, ``fold`` maps bytes."""
+    on = inside[raw]
+    first = on.copy()
+    first[1:] &= ~on[:-1]
+    at = offsets[:-1][offsets[:-1] < len(raw)]
+    first[at] = on[at]
+    start = np.flatnonzero(first)
+    kept = raw[on]
+    body = kept if fold is None else fold[kept]
+    # The runs lie side by side in ``body``, so each ends where the next begins.
+    ends = np.append(np.cumsum(on, dtype=np.int64)[start] - 1, len(body)) if len(start) else np.zeros(1, np.int64)
+    return start, pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(body)])
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray | None = None, stem: int = 0) -> tuple[np.ndarray, ...]:
     """(start, end, hash) of every maximal run of bytes marked in ``inside``; runs end at the ends of texts.
 

@@ -135,7 +135,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
     items = [("a", text(25)), ("b", text(12)), ("c", text(3)), ("d", None), ("e", " "), (None, text(14)), ("f", text(10))]
     items += [("g", items[0][1]), ("a", items[1][1])]
-    texts = [t for t in ODD if t is None or len(t) < 1000] + [text(8) + " " + (r.choice(items)[1] or "") + ". " + text(5) for _ in range(60)] + [text(400)]
+    texts = ODD + [text(8) + " " + (r.choice(items)[1] or "") + ". " + text(5) for _ in range(60)] + [text(400)]
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     for bytes_ in (decontam.PIECE_BYTES, 60):  # one piece, then many
         monkeypatch.setattr(decontam, "PIECE_BYTES", bytes_)
@@ -147,3 +147,37 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert decontam.decontaminate(docs(spark, texts), benchmark).columns == ["doc_id", "text", "found"]
     clean = {r.doc_id for r in decontam.decontaminate(docs(spark, texts), benchmark).select(F.col("doc_id")).collect()}
     assert clean == {i for i, (_, hit, _) in enumerate(brute(texts, items)) if not hit}
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[k.bit_count() & 1] for k in range(n))
+
+
+def test_decontamination_tells_words_apart_by_their_bytes(spark):
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    got = decontam.digest(docs(spark, [one, two, one + "x", f"x {two} y"]), spark.createDataFrame([("q", one)], "item_id string, text string")).orderBy("doc_id").collect()
+    assert [x.contaminated for x in got] == [True, False, False, False]
+
+
+def test_decontamination_of_repeated_words_is_bounded():
+    import resource
+
+    rows = [("long", "z " * 5000), ("short", "z z z"), ("ten", "z " * 10), ("two", "z z y " * 700)]
+    texts = ["z " * 200_000, "z z y " * 50_000 + "z " * 9, "y z " * 100]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = decontam.find(pa.array(texts), decontam.TestSet(rows)).to_pylist()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # kilobytes
+    assert [(f["n_words"], [tuple(h.values()) for h in f["hits"]], sorted(f["item_ids"])) for f in found] == [
+        (200_000, [(0, 200_000)], ["long", "short", "ten"]),
+        (150_009, [(0, 150_009)], ["short", "two"]),
+        (200, [], []),
+    ]
+    assert found[0]["matches"][:2] == [{"item_id": "long", "item_start": 0, "start": 0, "n_words": 5000}, {"item_id": "short", "item_start": 0, "start": 0, "n_words": 3}]
+
+
+def test_longest_matches_and_where_they_are():
+    rows = [("a", " ".join(f"w{k}" for k in range(30))), ("b", "x " + " ".join(f"w{k}" for k in range(5, 25)) + " y")]
+    text = "start " + " ".join(f"w{k}" for k in range(3, 22)) + " cut " + "x " + " ".join(f"w{k}" for k in range(5, 25)) + " end"
+    found = decontam.find(pa.array([text, None]), decontam.TestSet(rows)).to_pylist()
+    assert [tuple(m.values()) for m in found[0]["matches"]] == [("a", 3, 1, 19), ("b", 0, 21, 21)]
+    assert sorted(found[0]["item_ids"]) == ["a", "b"] and found[1] == {"n_words": 0, "hits": [], "item_ids": [], "matches": []}
