@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +22,25 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str
     """(text, label) of at most ``rows`` labelled documents that are not held out, written to shared storage.
 
     They are the first by a hash of the id, so the choice doesn't depend on
-    order or partitions; equal texts with equal labels count once. Of conflicting labels of an id the larger holds; null
+    order or partitions; of several texts of an id the least counts, and equal
+    texts with equal labels count once. Of conflicting labels of an id the larger holds; null
     labels and ids don't count. The ids are at most ``rows`` rows, which bounds
     the broadcast.
     """
     known = labels.select(column(doc).alias("doc"), column(label).cast("int").alias("label")).dropna().filter(~held_out(F.col("doc")))
     chosen = known.groupBy("doc").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("doc").cast("string"), F.lit("fit")), "doc").limit(rows)
     texts = docs.select(column(doc).alias("doc"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(chosen), "doc").select("text", (F.col("label") > 0).cast("int").alias("label")).dropDuplicates().limit(rows))
+    one = texts.join(F.broadcast(chosen), "doc").groupBy("doc").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return cut(one.select("text", (F.col("label") > 0).cast("int").alias("label")).dropDuplicates())
+
+
+def in_order(chosen: DataFrame, size: int) -> Iterator[tuple[str, int]]:
+    """The sample's first rows by a hash of the text, up to ``size`` bytes of text: the same for every partitioning."""
+    for text, label in chosen.orderBy(F.xxhash64("text", F.lit("order")), "text", "label").toLocalIterator():
+        size -= len(text.encode())
+        if size < 0:
+            return
+        yield text, label
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -55,6 +68,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
+def grid(x: np.ndarray) -> np.ndarray:
+    """Rounded to multiples of 2 ** -16, so that sums of very many are exact and don't depend on how texts are batched."""
+    return np.round(np.asarray(x, np.float64) * 65536) / 65536
+
+
 def predictions(scored: DataFrame, score: Column, threshold: float, doc: str = "doc_id") -> list[Column]:
     """The query's columns."""
     return [column(doc), held_out(column(doc)).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted")]

@@ -1,12 +1,13 @@
 """Near-duplicates, embeddings, URLs, chats, classifiers and the pipeline against brute force, with odd rows."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
 
-from attestry.llm import chat, embeddings, graph, quality, simhash, toxicity, urls
+from attestry.llm import chat, embeddings, graph, labelled, quality, simhash, textbuf, toxicity, urls
 
 
 def union(n, pairs):
@@ -138,10 +139,71 @@ def test_chat_blocks_and_long_chains(spark):
     assert sorted(r.n_messages for r in chat.formatted(df).collect()) == [4, 32, 32, 32]
 
 
+def positive(scores):
+    """What toxicity.segments takes."""
+    total = np.concatenate([[0.0], np.cumsum(scores)])
+    at = np.flatnonzero(np.array(scores) > 0)
+    return at.tolist(), total[at].tolist(), total[at + 1].tolist()
+
+
+def best_segments(scores, at=0):
+    """Maximal scoring segments by definition: the best one, then the best ones on either side of it."""
+    found = [(sum(scores[i:j]), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+    best = max(found, default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    _, i, j = best
+    return best_segments(scores[:i], at) + [(at + i, at + j)] + best_segments(scores[j:], at + j)
+
+
 def test_segments_are_maximal():
-    assert toxicity.segments([], []) == []
-    assert [x[:2] for x in toxicity.segments([3, 4, 500], [5.0, 5.0, 5.0])] == [(3, 5), (500, 501)]
-    assert [x[:2] for x in toxicity.segments([0, 10], [5.0, 5.0])] == [(0, 11)]
+    assert toxicity.segments([], [], []) == []
+    r = random.Random(13)
+    for n in [*range(1, 12), 20, 30]:
+        for _ in range(60):
+            scores = [r.choice([-1, 1, 1]) * r.random() if r.random() < 0.7 else -0.05 * r.random() for _ in range(n)]
+            found = toxicity.segments(*positive(scores))
+            assert [x[:2] for x in found] == best_segments(scores)
+            assert all(abs(sum(scores[s:e]) - x) < 1e-9 for s, e, x in found)
+
+
+def test_segments_take_linear_time():
+    import time
+
+    def took(scores):
+        given = positive(scores)
+        began = time.process_time()
+        toxicity.segments(*given)
+        return time.process_time() - began
+
+    r = random.Random(14)
+    for make in (lambda n: [5.0] + [-0.01, 0.005] * n, lambda n: [-0.01, 0.005] * n, lambda n: [0.005, -0.01] * n + [1e6], lambda n: [r.random() - 0.5 for _ in range(2 * n)]):
+        assert took(make(200_000)) < 3
+
+
+def test_toxicity_scores_equal_plain_python(spark):
+    r = random.Random(15)
+    words = ["alpha", "beta", "gamma", "zork", "zonked", "zonking", "zonker", "zilch", "Δοκ"]
+    text = lambda bad: " ".join(r.choice(words if bad else words[:3]) + r.choice([".", "", "!"]) for _ in range(r.randint(1, 60)))
+    docs = spark.createDataFrame([(i, text(i % 4 == 0)) for i in range(200)], "doc_id long, text string")
+    m = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    table = dict(zip(m.token.tolist(), m.score.tolist(), strict=True))
+    hashed = lambda w, more=0: int(textbuf.mix(np.array([(sum((b + 1) * pow(textbuf.BASE, k, 1 << 64) for k, b in enumerate(w)) + more) % (1 << 64)], np.uint64))[0])
+    texts = [text(True) for _ in range(50)] + ["", "zonkest zonk zo", "beta " * 3000 + "zork zork"]
+    import pyarrow as pa
+
+    for t, (n, found) in zip(texts, m.found(pa.array(texts, pa.large_string())), strict=True):
+        tokens = [w.encode().lower() for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)]
+        scores = [table.get(hashed(w), table.get(hashed(w[:4], 1) if len(w) >= 4 else 0, labelled.grid(toxicity.DRIFT))) for w in tokens]
+        assert n == len(tokens)
+        if n < 100:
+            assert sorted(x[:2] for x in found) == best_segments([float(x) for x in scores])
+        total = sum(x for *_, x in found)
+        best = max((x for *_, x in found), default=0)
+        surprise = [min(-np.log(max(-np.expm1(-min(50, m.scale * n * np.exp(-m.decay * x))), 1e-12)), 99) for *_, x in found]
+        strong = [x for x in surprise if x >= -np.log(0.05)]
+        z = np.dot(m.weights, [max(surprise, default=0), np.log1p(sum(strong)), np.log1p(len(strong)), np.log1p(total), 1])
+        assert abs(m.probability(n, found) - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9 and best <= total + 1e-9
 
 
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
