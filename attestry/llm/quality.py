@@ -1,19 +1,26 @@
 """Quality classifier on supervised subword embeddings.
 
-Words, pairs of words and character n-grams are hashed to buckets; each bucket
-has a learned vector, a document is the mean of its buckets' vectors, and a
-softmax over two classes reads it. Training is stochastic gradient descent in
-numpy on the driver, over a sample of at most ``TRAIN_ROWS`` labelled documents
-and ``TRAIN_BYTES`` of text; a longer single text doesn't enter the sample.
+Words, and the character n-grams inside them between marks of their beginning
+and end, are hashed to buckets, and so are word 2-grams, by their pattern alone:
+a word that is said again is one feature, whatever the word, and other pairs
+tell nothing that their words don't. Each bucket has a learned vector, a document is
+the mean of its buckets' vectors, repeats included, and a softmax over two
+classes reads it. Training is stochastic gradient descent in numpy on the
+driver, over a sample of at most ``TRAIN_ROWS`` labelled documents, and of these
+the first by a hash of the text up to ``TRAIN_BYTES`` of text; a longer single
+text doesn't enter the sample.
 
 The class score is linear in the mean, so for scoring every bucket's vector is
-folded with the softmax weights into one number; that is the same score, and a
-document costs one table lookup for each feature.
+folded with the softmax weights into one number. That is the same score; the
+buckets of each different word of a batch are looked up once. The numbers are
+multiples of 2 ** -16, whose sums are exact, so scores don't depend on
+partitions or batches.
 
 Defined results: null and empty texts have no features and get the class prior
 that the intercepts hold; whole texts count; without labels every score is 0.5,
-and with one class alone it is that class's smoothed share; repeated rows score
-alike; further columns pass through.
+and with one class alone it is that class's smoothed share; of several texts of
+an id the least is learnt from; repeated rows score alike; further columns pass
+through.
 """
 
 from __future__ import annotations
@@ -29,39 +36,60 @@ from attestry.llm import labelled, textbuf
 from attestry.llm.shared import column, free_name, text_map
 
 TRAIN_ROWS, TRAIN_BYTES = 6000, 48 << 20
-BITS, SIZE, GRAMS = 17, 8, (2, 3, 4)
+BITS, SIZE, GRAMS = 18, 8, (2, 3, 4, 5)
 #: Passes over the sample, and the steps that a small sample is repeated for.
 ROUNDS, LEAST_STEPS = 4, 12_000
 INSIDE = ~textbuf.byte_set((0x00, 0x20), (0x7F, 0x7F))
+#: Bytes that stand before and behind a word; words never hold them.
+BEGIN, END = 0x02, 0x03
 THRESHOLD = 0.3
-#: The one hash of all pairs of a word with itself, so that repetition is learnt for every word.
-SAME = np.uint64(0xA5A5A5A5A5A5A5A5)
-
-
-def buckets(raw: np.ndarray, offsets: np.ndarray):
-    """Yields (bucket, document) arrays that together hold every feature of every text, repeats included."""
+#: The bucket of a word that follows itself.
+AGAIN = (0xA5A5A5A5A5A5A5A5 >> (64 - BITS))
+
+
+def word_buckets(words: pa.Array):
+    """Yields (bucket, word) arrays that together hold every feature of every word: itself, and the n-grams of its characters and marks."""
+    body, ends = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    n = len(words)
+    if not n:
+        return
+    body = body[ends[0] : ends[-1]]
+    at = ends - ends[0]
+    raw = np.full(len(body) + 2 * n, BEGIN, np.uint8)
+    raw[np.arange(len(body)) + 2 * np.repeat(np.arange(n), np.diff(at)) + 1] = body
+    edge = at + 2 * np.arange(n + 1)
+    raw[edge[1:] - 1] = END
     shift = np.uint64(64 - BITS)
-    n = len(raw)
+    # Where characters begin; continuation bytes of UTF-8 don't.
+    chars = np.flatnonzero((raw & 0xC0) != 0x80)
+    word = np.searchsorted(edge, chars, "right") - 1
+    chars = np.append(chars, len(raw))
     with np.errstate(over="ignore"):
-        for lo in range(0, n, textbuf.PIECE):
-            hi = min(n, lo + textbuf.PIECE)
-            part = raw[lo : min(n, hi + max(GRAMS))]
+        for lo in range(0, len(word), textbuf.PIECE):
+            hi = min(len(word), lo + textbuf.PIECE)
+            part = raw[chars[lo] : chars[min(len(word), hi + max(GRAMS))]]
             up, down = textbuf.powers(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
-            doc = np.searchsorted(offsets, np.arange(lo, hi), "right") - 1 if len(offsets) < 3 else np.repeat(np.arange(len(offsets) - 1), np.diff(offsets.clip(lo, hi)))
-            room = offsets[doc + 1] - np.arange(lo, hi)
             for g in GRAMS:
-                at = np.flatnonzero(room >= g)
-                h = textbuf.mix((total[at + g] - total[at]) * down[at] + np.uint64(g))
-                yield (h >> shift).astype(np.int64), doc[at]
-        start, _, h = textbuf.words(raw, offsets, INSIDE)
-        doc = np.searchsorted(offsets, start, "right") - 1
-        yield (h >> shift).astype(np.int64), doc
-        pair = np.flatnonzero(doc[1:] == doc[:-1])
-        both = textbuf.mix(h[pair] * np.uint64(3) + h[pair + 1])
-        both[h[pair] == h[pair + 1]] = SAME
-        yield (both >> shift).astype(np.int64), doc[pair]
+                first = np.arange(lo, min(hi, len(word) - g + 1))
+                first = first[word[first] == word[first + g - 1]]
+                a, b = chars[first] - chars[lo], chars[first + g] - chars[lo]
+                yield (textbuf.mix((total[b] - total[a]) * down[a] + np.uint64(g)) >> shift).astype(np.int64), word[first]
+    offsets = np.append(edge[:-1], len(raw))
+    inside = np.ones(256, bool)
+    inside[[BEGIN, END]] = False
+    _, _, h = textbuf.words(raw, offsets, inside)
+    yield (h >> shift).astype(np.int64), np.arange(n)
+
+
+def split_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(the different words, the word at each place, the text of each place, in each text the words that follow themselves)."""
+    start, words = textbuf.word_values(raw, offsets, INSIDE)
+    coded = words.dictionary_encode()
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    return coded.dictionary, at, doc, np.bincount(doc[1:][(at[1:] == at[:-1]) & (doc[1:] == doc[:-1])], minlength=len(offsets) - 1)
 
 
 @dataclass
@@ -74,29 +102,38 @@ class Model:
         raw, offsets = textbuf.buffers(texts)
         out = []
         for i, j in textbuf.doc_groups(offsets):
-            total, count = np.zeros(j - i), np.zeros(j - i)
-            for b, doc in buckets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                total += np.bincount(doc, self.bucket[b], j - i)
-                count += np.bincount(doc, minlength=j - i)
+            words, at, doc, again = split_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            value, features = np.zeros(len(words)), np.zeros(len(words))
+            for b, w in word_buckets(words):
+                value += np.bincount(w, self.bucket[b], len(words))
+                features += np.bincount(w, minlength=len(words))
+            total, count = np.bincount(doc, value[at], j - i) + again * self.bucket[AGAIN], np.bincount(doc, features[at], j - i) + again
             out.append(total / np.maximum(count, 1))
         z = np.concatenate(out) + self.intercept if out else np.zeros(0)
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and the share of each among its features."""
+    words, at, _, again = split_words(*textbuf.buffers(pa.array([text], pa.large_string())))
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    times = np.bincount(at, minlength=len(words))
+    parts = [(b, times[w]) for b, w in word_buckets(words)] + [(np.array([AGAIN]), again)]
+    ids, which = np.unique(np.concatenate([b for b, _ in parts]), return_inverse=True)
+    counts = np.bincount(which, np.concatenate([t for _, t in parts]))
+    return ids, (counts / counts.sum()).astype(np.float32)
+
+
 def fit(texts: list[str], classes: np.ndarray, seed: int = 5, rate: float = 0.5) -> Model:
     """Stochastic gradient descent over shuffled documents with a falling rate."""
     share = (classes.sum() + 1) / (len(classes) + 2)
     if not len(classes) or classes.min() == classes.max():
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+        return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
     r = np.random.default_rng(seed)
     vectors = ((r.random((1 << BITS, SIZE), np.float32) - 0.5) / SIZE).astype(np.float32)
     out, bias = np.zeros((2, SIZE), np.float32), np.zeros(2, np.float32)
-    bags = []
-    for t in texts:
-        raw, offsets = textbuf.buffers(pa.array([t], pa.large_string()))
-        found = [b for b, _ in buckets(raw, offsets)]
-        ids, counts = np.unique(np.concatenate(found), return_counts=True)
-        bags.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+    bags = [bag(t) for t in texts]
     rounds = max(ROUNDS, -(-LEAST_STEPS // len(bags)))
     steps, done = rounds * len(bags), 0
     for _ in range(rounds):
@@ -115,19 +152,13 @@ def fit(texts: list[str], classes: np.ndarray, seed: int = 5, rate: float = 0.5)
             # A bag's vectors share its gradient; the step is scaled by 1 / |weights|^2 so that long texts learn as fast as short ones.
             if len(ids):
                 vectors[ids] -= (now / float(weight @ weight) * min(1.0, float(weight @ weight) * 50)) * weight[:, None] * back
-    return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model(labelled.grid(vectors @ (out[1] - out[0])), float(bias[1] - bias[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "quality") -> Model:
-    chosen = labelled.sample(docs.filter(F.coalesce(F.octet_length(column(text)), F.lit(0)) <= TRAIN_BYTES // 48), labels, label, TRAIN_ROWS, text, doc)
-    texts, classes, room = [], [], TRAIN_BYTES
-    for row in chosen.toLocalIterator():
-        room -= len(row[0].encode())
-        if room < 0:
-            break
-        texts.append(row[0])
-        classes.append(row[1])
-    return fit(texts, np.array(classes, np.int64))
+    short = docs.filter(F.coalesce(F.octet_length(column(text)), F.lit(0)) <= TRAIN_BYTES // 48)
+    chosen = list(labelled.in_order(labelled.sample(short, labels, label, TRAIN_ROWS, text, doc), TRAIN_BYTES))
+    return fit([t for t, _ in chosen], np.array([c for _, c in chosen], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

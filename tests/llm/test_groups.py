@@ -206,6 +206,54 @@ def test_toxicity_scores_equal_plain_python(spark):
         assert abs(m.probability(n, found) - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9 and best <= total + 1e-9
 
 
+def hash64(body, more=0):
+    """textbuf's hash of bytes, in plain integers."""
+    h = (sum((b + 1) * pow(textbuf.BASE, k, 1 << 64) for k, b in enumerate(body)) + more) % (1 << 64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ h >> shift) * factor % (1 << 64)
+    return h
+
+
+def test_quality_scores_equal_plain_python():
+    import pyarrow as pa
+
+    r = random.Random(16)
+    m = quality.Model(labelled.grid(np.random.default_rng(1).standard_normal(1 << quality.BITS)), 0.25)
+    parts = ["the", "tion", "Ünï", "漢字", "x", "!!", "a|b", "🙂", "same same", "same"]
+    texts = [None, "", " \n", "a", "é é é", "w" * 3000, "word word " * 400] + [r.choice([" ", "\t", "\n "]).join(r.choice(parts) + r.choice(["", "."]) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    found = m.scores(pa.array(texts, pa.large_string()))
+    for t, z in zip(texts, found, strict=True):
+        words = re.findall(r"[^\x00-\x20\x7f]+", t or "")
+        names = []
+        for w in words:
+            marked = "\2" + w + "\3"
+            names += [hash64(w.encode())] + [hash64(marked[k : k + g].encode(), g) for g in quality.GRAMS for k in range(len(marked) - g + 1)]
+        buckets = [h >> (64 - quality.BITS) for h in names] + [quality.AGAIN for a, b in zip(words, words[1:], strict=False) if a == b]
+        mean = sum(m.bucket[b] for b in buckets) / max(1, len(buckets))
+        assert abs(z - 1 / (1 + np.exp(-np.clip(mean + 0.25, -30, 30)))) < 1e-12
+        ids, share = quality.bag(t or "")
+        counted = {b: buckets.count(b) / max(1, len(buckets)) for b in set(buckets)}
+        assert {int(i): pytest.approx(float(x), abs=1e-6) for i, x in zip(ids, share, strict=True) if x} == counted
+
+
+@pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_scores_do_not_depend_on_partitions(spark, module, label):
+    r = random.Random(17)
+    text = lambda k: " ".join(r.choice(["alpha", "beta", "gamma"] + ["zork", "zilch"] * (k % 3 == 0)) for _ in range(r.randint(1, 50)))
+    rows = [(i % 290, text(i)) for i in range(300)]  # some ids have two texts
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], f"doc_id long, {label} int")
+    scores = []
+    try:
+        for partitions, order in ((4, 1), (7, -1)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            docs = spark.createDataFrame(rows[::order], "doc_id long, text string").repartition(partitions)
+            m = module.train(docs, labels)
+            scores.append(sorted((x.text, repr(x.s if label == "quality" else x.s.score)) for x in module.score(docs, m, out="s").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert scores[0] == scores[1]
+
+
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, module, label):
     r = random.Random(6)
