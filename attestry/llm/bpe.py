@@ -3,17 +3,21 @@
 The automaton reads token arcs. It starts as one state with a loop for each
 byte; every merge (a, b) -> ab then applies one gadget: the target of a's arcs
 is copied without its arc b, a's arcs go to the copy, and wherever an arc a
-stood an arc ab is added that leads where a then b led. In the result, the state
-after an arc depends on that arc only, and a sequence of tokens is a path if and
-only if it is what the merges make of its bytes. Fully expanded tables would
-hold a row of 50,000 arcs for each token, so copies are kept as what they are:
-a state points at the state it was copied from, with the time of the copy, and
-records the arcs that were removed since. ``Automaton.step`` follows those
-pointers, and every answer goes to a transition table.
-
-Encoding runs the automaton over the arcs that spell a pre-split word, depth
-first. Each prefix of a word has one path at most, so a position holds one state
-and is given up once at most; the path that ends at the last byte is the encoding. Decoding concatenates arc labels.
+stood before which b could follow, an arc ab is added that leads where a then b
+led. In the result, the state after an arc depends on that arc only, and a
+sequence of tokens is a path if and only if it is what the merges make of its
+bytes. Written out, the states would hold a row of 50,000 arcs for each token,
+so rows are shared: a state has the arcs that it lost, each with the time, and
+beyond them the row of the state that it was copied from, as it was at that
+time.
+
+Encoding is deterministic over bytes. Every prefix of a word has exactly one
+path, so what can follow depends on the pairs (state, label begun) that are open
+behind it. Such a set of pairs is a state of the byte table; its row says for
+each byte the next set and the arc that ends there. Rows are made from the
+automaton when they are first asked for. A pre-split word is one run through the
+table, a step a byte, and its arcs are read off from the end. Each different
+word is run once. Decoding concatenates arc labels.
 
 Defined results: null and empty texts have no tokens and decode to the empty
 text; texts of any length are encoded whole (words are cached, texts are not);
@@ -38,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from attestry.llm import textbuf
 from attestry.llm.shared import column, free_name, ship, text_map
 
 #: Fixed value: Unicode's white space, as the pre-splitter of byte-level vocabularies takes it.
@@ -62,8 +67,13 @@ def latin_class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
-#: Entries in each worker's tables. A full table of words becomes the old one and a new one begins, so frequent words stay; results don't depend on it.
-CACHED_WORDS, CACHED_STEPS = 250_000, 1_000_000
+#: Entries in each worker's tables. A full table of words becomes the old one and a new one begins, so frequent words stay, and a full byte table begins anew; results don't depend on it.
+CACHED_WORDS, CACHED_STEPS = 250_000, 600_000
+#: Bytes of text that are split at a time.
+GROUP = 2 << 20
+#: Longer words are run each time.
+LONG = 64
+NEVER = 1 << 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,7 +83,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """The ids of words, given as bytes, made when a word is first asked for."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton, self.old = automaton, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            path = self.automaton.path(word)
+            ids = struct.pack(f"<{len(path)}I", *path)
+        if len(word) <= LONG:
+            if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Automaton:
+    """States are named by the arc that leads to them; -1 is where words begin."""
+
     def __init__(self, text: str):
         spec = json.loads(text)
         model, back = spec["model"], byte_alphabet()
@@ -85,18 +116,32 @@ class Automaton:
             self.label[i] = s
         for s, i in self.special.items():
             self.label[i] = s.encode()
-        self.born = [-1] * len(self.label)
-        self.head = [0] * len(self.label)
-        self.tail = [0] * len(self.label)
-        self.removed: dict[int, int] = {}
+        self.born, self.copied, self.head = ([-1] * len(self.label) for _ in range(3))
+        self.lost: dict[int, int] = {}
         for time, pair in enumerate(model["merges"]):
             a, b = (as_bytes(s) for s in (pair.split(" ") if isinstance(pair, str) else pair))
             self._gadget(time, self.arc[a], self.arc[b], self.arc[a + b])
-        self.labels = {s[:k]: -1 for s in self.arc for k in range(1, len(s))} | self.arc
-        self.shorter = [next((self.arc[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in self.arc), -1) for s in self.label]
-        self.table: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # The labels as a tree: the child of a node by a byte, and the arc that a node completes.
+        self.child: dict[int, int] = {}
+        self.done = [-1]
+        for s, i in self.arc.items():
+            node = 0
+            for byte in s:
+                node = self.child.setdefault(node << 8 | byte, len(self.done))
+                if node == len(self.done):
+                    self.done.append(-1)
+            self.done[node] = i
+        inner = [False] * len(self.done)
+        for key in self.child:
+            inner[key >> 8] = True
+        # By node << 8 | byte what a pair needs of the child: its number, negative where no label goes on, and the arc that it completes.
+        self.next = {key: (node if inner[node] else -1, self.done[node]) for key, node in self.child.items()}
+        self.known: dict[int, bool] = {}
+        self.sets: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
+        self.table: dict[int, int] = {}
+        self._set((0,))
+        self.words = _Words(self)
         self.later = regex.compile(f"[{LATER}]")
         # Texts of signs below U+0250 take the standard library's engine, four times as fast with the same classes.
         letter, digit, space = latin_class("L"), latin_class("N"), r"\t-\r\x20\x85\xa0"
@@ -104,71 +149,83 @@ class Automaton:
         self.latin_split = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
         self.plain_split = regex.compile(split_pattern(r"\p{L}", r"\p{N}", rf"[^{_SPACE}\p{{L}}\p{{N}}]"))
         self.exact_split = regex.compile(split_pattern(rf"[\p{{L}}--[{LATER}]]", rf"[\p{{N}}--[{LATER}]]", rf"[[^{_SPACE}\p{{L}}\p{{N}}]||[{LATER}]]"), regex.V1)
+        self.kinds = np.array([{"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3 if re.match(f"[{space}]", chr(c)) else 0) for c in range(0x250)], np.uint8)
+        self.label_bytes, self.label_size = np.frombuffer(b"".join(self.label), np.uint8), np.array([len(x) for x in self.label])
+        self.mark_bytes = [x.encode() for x in self.special]
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def _gadget(self, time: int, a: int, b: int, ab: int) -> None:
-        """One merge: arc b leaves the state after a, arc ab appears beside a, and the state after ab is a copy of the state after b."""
-        self.removed[a << 32 | b] = time
-        self.born[ab], self.head[ab], self.tail[ab] = time, a, b
-
-    def step(self, state: int, arc: int) -> bool:
-        """Whether the state after token ``state`` has the arc ``arc``; the state it leads to is named by the arc itself."""
-        before, x, y = len(self.removed), state, arc
-        while True:
-            cut = self.removed.get(x << 32 | y)
-            if cut is not None and cut < before:
+        """One merge: the state after a loses arc b, arc ab appears where a stood, and its state begins as a copy of the state after b."""
+        self.born[ab], self.head[ab], self.copied[ab] = time, a, b
+        self.lost[a << 32 | b] = time
+
+    def lost_at(self, state: int, arc: int) -> int:
+        """When the state's row lost the arc: itself, or before the copy the state that it was copied from."""
+        until = NEVER
+        while state >= 0:
+            time = self.lost.get(state << 32 | arc, NEVER)
+            if time < until:
+                return time
+            until, state = self.born[state], self.copied[state]
+        return NEVER
+
+    def has(self, state: int, arc: int) -> bool:
+        """Whether the state has the arc: it got it if it had the arc's head when the arc was born, and it must not have lost it."""
+        if self.lost_at(state, arc) < NEVER:
+            return False
+        while self.head[arc] >= 0:
+            # An arc aa is born when the state after a loses a; that state doesn't get it.
+            if self.lost_at(state, self.head[arc]) <= self.born[arc]:
                 return False
-            if self.born[x] < 0 and self.born[y] < 0:
-                return True
-            if self.born[x] > self.born[y]:
-                before, x = self.born[x], self.tail[x]
-            else:
-                before, y = self.born[y] + 1, self.head[y]
-
-    def longest(self, word: bytes, at: int) -> int:
-        """The longest arc label at a position."""
-        labels, best, n = self.labels, -1, len(word)
-        for end in range(at + 1, n + 1):
-            token = labels.get(word[at:end])
-            if token is None:
-                break
-            if token >= 0:
-                best = token
-        return best
+            arc = self.head[arc]
+        return True
+
+    def _set(self, pairs: tuple[int, ...]) -> int:
+        """The number of a set of open pairs, each (state + 1) << 32 | node."""
+        k = self.number.setdefault(pairs, len(self.sets))
+        if k == len(self.sets):
+            self.sets.append(pairs)
+        return k
+
+    def _row(self, key: int) -> int:
+        """Fills the table's entry for set << 8 | byte: next set << 32 | arc that ends with the byte."""
+        pairs, byte, next_, known = self.sets[key >> 8], key & 255, self.next, self.known
+        if len(self.table) >= CACHED_STEPS:
+            for full in (self.table, self.number, self.sets, known):
+                full.clear()
+            self._set((0,))
+        after, ended = [], -1
+        for pair in pairs:
+            found = next_.get((pair & 0xFFFFFFFF) << 8 | byte)
+            if found is None:
+                continue
+            node, arc = found
+            if node >= 0:
+                after.append(pair >> 32 << 32 | node)
+            if arc >= 0 and ended < 0:
+                has = known.get(at := pair >> 32 << 32 | arc)
+                if has is None:
+                    has = known[at] = self.has((pair >> 32) - 1, arc)
+                if has:
+                    ended = arc
+        after.append((ended + 1) << 32)
+        step = self.table[self._set(pairs) << 8 | byte] = self._set(tuple(after)) << 32 | ended
+        return step
 
     def path(self, word: bytes) -> list[int]:
-        """The arcs of the one path that spells ``word``, found depth first, longer arcs first.
-
-        A prefix has one path at most, hence a position from which no path goes
-        on is dead for good, and each position is left once.
-        """
-        label, shorter, table, n = self.label, self.shorter, self.table, len(word)
-        out, at, state, dead = [], 0, -1, set()
-        token = self.longest(word, 0)
-        while True:
-            end = at + len(label[token])
-            open_ = end not in dead
-            if open_ and state >= 0:
-                key = state << 32 | token
-                open_ = table.get(key)
-                if open_ is None:
-                    if len(table) >= CACHED_STEPS:
-                        table.clear()
-                    open_ = table[key] = self.step(state, token)
-            if open_:
-                out.append(token)
-                if end == n:
-                    return out
-                at, state = end, token
-                token = self.longest(word, at)
-                continue
-            token = shorter[token]
-            while token < 0:
-                dead.add(at)
-                token = out.pop()
-                at -= len(label[token])
-                state = out[-1] if out else -1
-                token = shorter[token]
+        """The arcs of the one path that spells ``word``."""
+        table, at, ends = self.table, 0, []
+        for byte in word:
+            step = table.get(at << 8 | byte)
+            if step is None:
+                step = self._row(at << 8 | byte)
+            at = step >> 32
+            ends.append(step & 0xFFFFFFFF)
+        out, k = [], len(word)
+        while k:
+            out.append(ends[k - 1])
+            k -= len(self.label[out[-1]])
+        return out[::-1]
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
@@ -181,18 +238,7 @@ class Automaton:
         return b"".join((*out, self._plain(text[at:] if at else text)))
 
     def _plain(self, text: str) -> bytes:
-        known, out = self.words, []
-        for word in self.pieces(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.old.get(word) or struct.pack(f"<{len(p := self.path(word.encode()))}I", *p)
-                if len(word) <= 64:
-                    if len(known) >= CACHED_WORDS:
-                        self.old, self.words = known, {}
-                        known = self.words
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, map(str.encode, self.pieces(text))))
 
     def pieces(self, text: str) -> list[str]:
         """The pre-split words; together they are the text."""
@@ -205,6 +251,88 @@ class Automaton:
         """The labels of the arcs, as text; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.label.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
+    def word_starts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pre-split words of texts of signs below U+0250 begin, as ``latin_split`` splits them, for a whole column at a time."""
+        at = np.flatnonzero((raw & 0xC0) != 0x80)
+        n = len(at)
+        sign = raw[at].astype(np.uint16)
+        two = np.flatnonzero(sign >= 0x80)
+        sign[two] = (sign[two] & 0x1F) << 6 | raw[at[two] + 1] & 0x3F
+        kind = self.kinds[sign]
+        new = np.zeros(n + 1, bool)  # where texts begin, and the end
+        new[np.searchsorted(at, offsets)] = True
+        start = new.copy()
+        start[1:n] |= kind[1:] != kind[:-1]
+        # The last blank before another sign of the text is a word of its own, or, if it is a space, the beginning of the next.
+        last = np.flatnonzero((kind[:-1] == 3) & (kind[1:] != 3) & ~new[1:n])
+        start[last] = True
+        start[last + 1] = sign[last] != 0x20
+        # An apostrophe that begins a word takes the endings of contractions, and what follows them begins another.
+        mark = np.flatnonzero(start[:n] & (sign == 0x27))
+        mark = mark[mark + 1 < n]
+        mark = mark[~new[mark + 1]]
+        one = sign[mark + 1]
+        other = np.where((mark + 2 < n) & ~new[(mark + 2).clip(max=n)], sign[(mark + 2).clip(max=n - 1)], 0)
+        short = np.isin(one, [0x73, 0x74, 0x6D, 0x64])
+        long_ = ((one == 0x72) | (one == 0x76)) & (other == 0x65) | (one == 0x6C) & (other == 0x6C)
+        start[mark[short | long_] + 1] = False
+        start[mark[long_] + 2] = False
+        start[mark[short] + 2] = True
+        start[mark[long_] + 3] = True
+        return at[np.flatnonzero(start[:n])]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts one after another, the number of each text's ids)."""
+        raw, offsets = textbuf.buffers(texts)
+        ids, counts = [], []
+        for i, j in textbuf.doc_groups(offsets, GROUP):
+            part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            # Texts with other signs or with marks of the vocabulary go one by one.
+            beyond = np.flatnonzero((part >= 0xCA) | (part == 0xC9) & (np.append(part[1:], 0) >= 0x90))
+            odd = np.unique(np.searchsorted(off, beyond, "right") - 1).tolist()
+            if any(m in (body := part.tobytes()) for m in self.mark_bytes):
+                odd = sorted({*odd, *(k for k in range(j - i) if any(m in body[off[k] : off[k + 1]] for m in self.mark_bytes))})
+            at = 0
+            for k in [*odd, j - i]:
+                if at < k:
+                    found, n = self._plain_all(part[off[at] : off[k]], off[at : k + 1] - off[at])
+                    ids.append(found)
+                    counts.append(n)
+                if k < j - i:
+                    one = np.frombuffer(self.encode(part[off[k] : off[k + 1]].tobytes().decode()), "<u4")
+                    ids.append(one)
+                    counts.append(np.array([len(one)]))
+                at = k + 1
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def _plain_all(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        begin = self.word_starts(raw, offsets)
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+        coded = list(map(self.words.__getitem__, words.dictionary.to_pylist()))
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        which = words.indices.to_numpy(zero_copy_only=False)
+        ids, total = gathered(np.frombuffer(b"".join(coded), "<u4"), size, which)
+        return ids, np.diff(np.append(0, total)[np.searchsorted(begin, offsets)])
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the bytes of all texts one after another, where each begins): the labels of the arcs."""
+        parts, sizes = [], [np.zeros(1, np.int64)]
+        for lo in range(0, len(ids), GROUP):
+            body, total = gathered(self.label_bytes, self.label_size, ids[lo : lo + GROUP])
+            parts.append(body)
+            sizes.append(total + sizes[-1][-1])
+        return np.concatenate([np.zeros(0, np.uint8), *parts]), np.concatenate(sizes)[np.append(0, np.cumsum(counts))]
+
+
+def gathered(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the rows ``which`` of a list of rows that lie one after another in ``flat``, where each ends in the result)."""
+    first = np.cumsum(size) - size
+    n = size[which]
+    total = np.cumsum(n)
+    return flat[np.repeat(first[which] - (total - n), n) + np.arange(total[-1] if len(total) else 0)], total
+
 
 @functools.lru_cache(maxsize=2)
 def automaton(text: str) -> Automaton:
@@ -222,13 +350,18 @@ def _spec(df: DataFrame, path: str | None):
     return df.sparkSession.sparkContext.broadcast(Path(path or default_path()).read_text())
 
 
+def id_column(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary for each text: its ids as little-endian unsigned 32-bit integers."""
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((4 * np.append(0, np.cumsum(counts))).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """Adds the binary column ``out``: the ids of the whole text as little-endian unsigned 32-bit integers."""
     spec = _spec(df, path)
 
     def make():
         a = automaton(spec.value)
-        return lambda batch: pa.array((a.encode(t.as_py()) for t in batch), pa.binary())
+        return lambda batch: id_column(*a.encode_all(batch))
 
     return df.withColumn(out, text_map(make, "binary")(column(text)))
 
@@ -241,8 +374,13 @@ def round_trip(df: DataFrame, text: str = "text", out: str = "bpe", path: str |
         a = automaton(spec.value)
 
         def apply(batch: pa.Array) -> pa.Array:
-            ids = [a.encode(t.as_py()) for t in batch]
-            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([a.decode(x) for x in ids], pa.string())], ["ids", "n_tokens", "decoded"])
+            ids, counts = a.encode_all(batch)
+            body, at = a.decode_all(ids, counts)
+            if np.array_equal(body, textbuf.buffers(batch)[0]):  # so it is text
+                decoded = pa.Array.from_buffers(pa.string(), len(batch), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(body)])
+            else:
+                decoded = pa.array([body[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)], pa.string())
+            return pa.StructArray.from_arrays([id_column(ids, counts), pa.array(counts, pa.int64()), decoded], ["ids", "n_tokens", "decoded"])
 
         return apply
 

@@ -34,6 +34,63 @@ def test_bpe_equals_the_library(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def merged(spec, rank, word):
+    """A word's ids by the merges' definition: the first merge that applies, everywhere from the left, until none does."""
+    shown = {b: c for c, b in bpe.byte_alphabet().items()}
+    parts = [shown[b] for b in word.encode()]
+    while len(parts) > 1:
+        best = min(zip(parts, parts[1:], strict=False), key=lambda p: rank.get(p, 1 << 40))
+        if best not in rank:
+            break
+        out, k = [], 0
+        while k < len(parts):
+            both = tuple(parts[k : k + 2]) == best
+            out.append("".join(best) if both else parts[k])
+            k += 1 + both
+        parts = out
+    return [spec["model"]["vocab"][x] for x in parts]
+
+
+def test_bpe_equals_the_merges_themselves(monkeypatch):
+    import json
+
+    spec = json.loads(open(bpe.default_path()).read())
+    rank = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(spec["model"]["merges"])}
+    a = bpe.Automaton(json.dumps(spec))
+    r = random.Random(21)
+    parts = ["a", "aa", "e", "the", "tion", "in", " ", "é", "漢", "1", "!", "=", "==", "Ġ", "zz", "ou", "er", "th"]
+    words = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(1500)] + ["a" * 37, "=" * 61, "abab" * 9]
+    expected = [merged(spec, rank, w) for w in words]
+    assert [a.path(w.encode()) for w in words] == expected
+    monkeypatch.setattr(bpe, "CACHED_STEPS", 7)  # the byte table begins anew all the time, also inside words
+    b = bpe.Automaton(json.dumps(spec))
+    assert [b.path(w.encode()) for w in words[:300]] == expected[:300]
+
+
+def test_bpe_splits_columns_as_the_pattern_does():
+    a = bpe.automaton(open(bpe.default_path()).read())
+    r = random.Random(22)
+    parts = ["'", "'s", "'ll", "'re", "'l", "'v", " ", "  ", "\n", "\t", "\x85", "\xa0", "a", "é", "Z", "1", "²", "!", "s", "t", "''", "ɏ", "ll", "re"]
+    for _ in range(800):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(20)]
+        raw, offsets = textbuf.buffers(pa.array(texts, pa.large_string()))
+        words = [w for t in texts for w in a.latin_split.findall(t)]
+        assert "".join(words) == "".join(texts)
+        assert a.word_starts(raw, offsets).tolist() == np.cumsum([0, *(len(w.encode()) for w in words)])[:-1].tolist()
+
+
+def test_bpe_of_signs_that_are_newer_than_the_vocabulary(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(bpe.default_path())
+    ends = re.findall(r"(.)(?:-(.))?", bpe.LATER)
+    signs = [chr(c) for a, b in ends for c in {ord(a), ord(b or a), (ord(a) + ord(b or a)) // 2}]
+    texts = [f"x{s}1 {s}{s}a 2{s} '{s}s" for s in signs] + ["<|endoftext|>a <|endoftext|>", "a'" + "\u0250", "plain text", None]
+    monkeypatch.setattr(bpe, "GROUP", 64)
+    ids, counts = bpe.automaton(open(bpe.default_path()).read()).encode_all(pa.array(texts))
+    at = np.append(0, np.cumsum(counts))
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_bpe_decodes_what_it_encodes(spark):
     back = bpe.decode(bpe.encode(docs(spark, ODD), out="ids"), "ids", "back")
     assert all(r.back == (r.text or "") and r.found == "keep" for r in back.collect())
