@@ -47,14 +47,9 @@ THRESHOLD = 0.3
 AGAIN = (0xA5A5A5A5A5A5A5A5 >> (64 - BITS))
 
 
-def word_buckets(words: pa.Array):
-    """Yields (bucket, word) arrays that together hold every feature of every word: itself, and the n-grams of its characters and marks."""
-    body, ends = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    n = len(words)
-    if not n:
-        return
-    body = body[ends[0] : ends[-1]]
-    at = ends - ends[0]
+def word_buckets(body: np.ndarray, at: np.ndarray):
+    """Yields (bucket, word) arrays that together hold every feature of every word, given by bytes and offsets: itself, and the n-grams of its characters and marks."""
+    n = len(at) - 1
     raw = np.full(len(body) + 2 * n, BEGIN, np.uint8)
     raw[np.arange(len(body)) + 2 * np.repeat(np.arange(n), np.diff(at)) + 1] = body
     edge = at + 2 * np.arange(n + 1)
@@ -83,13 +78,12 @@ def word_buckets(words: pa.Array):
     yield (h >> shift).astype(np.int64), np.arange(n)
 
 
-def split_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(the different words, the word at each place, the text of each place, in each text the words that follow themselves)."""
+def split_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes and offsets of the different words, the word at each place, the text of each place, in each text the words that follow themselves)."""
     start, words = textbuf.word_values(raw, offsets, INSIDE)
-    coded = words.dictionary_encode()
-    at = coded.indices.to_numpy(zero_copy_only=False)
+    *words, at = textbuf.different(words)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
-    return coded.dictionary, at, doc, np.bincount(doc[1:][(at[1:] == at[:-1]) & (doc[1:] == doc[:-1])], minlength=len(offsets) - 1)
+    return tuple(words), at, doc, np.bincount(doc[1:][(at[1:] == at[:-1]) & (doc[1:] == doc[:-1])], minlength=len(offsets) - 1)
 
 
 @dataclass
@@ -103,10 +97,11 @@ class Model:
         out = []
         for i, j in textbuf.doc_groups(offsets):
             words, at, doc, again = split_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            value, features = np.zeros(len(words)), np.zeros(len(words))
-            for b, w in word_buckets(words):
-                value += np.bincount(w, self.bucket[b], len(words))
-                features += np.bincount(w, minlength=len(words))
+            n = len(words[1]) - 1
+            value, features = np.zeros(n), np.zeros(n)
+            for b, w in word_buckets(*words):
+                value += np.bincount(w, self.bucket[b], n)
+                features += np.bincount(w, minlength=n)
             total, count = np.bincount(doc, value[at], j - i) + again * self.bucket[AGAIN], np.bincount(doc, features[at], j - i) + again
             out.append(total / np.maximum(count, 1))
         z = np.concatenate(out) + self.intercept if out else np.zeros(0)
@@ -116,10 +111,10 @@ class Model:
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text and the share of each among its features."""
     words, at, _, again = split_words(*textbuf.buffers(pa.array([text], pa.large_string())))
-    if not len(words):
+    if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    times = np.bincount(at, minlength=len(words))
-    parts = [(b, times[w]) for b, w in word_buckets(words)] + [(np.array([AGAIN]), again)]
+    times = np.bincount(at)
+    parts = [(b, times[w]) for b, w in word_buckets(*words)] + [(np.array([AGAIN]), again)]
     ids, which = np.unique(np.concatenate([b for b, _ in parts]), return_inverse=True)
     counts = np.bincount(which, np.concatenate([t for _, t in parts]))
     return ids, (counts / counts.sum()).astype(np.float32)

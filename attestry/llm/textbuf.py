@@ -95,6 +95,14 @@ def word_values(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold:
     return start, pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(body)])
 
 
+def different(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes and offsets of the different words of a binary column, the word at each place)."""
+    coded = words.dictionary_encode()
+    _, at, data = coded.dictionary.buffers()
+    offsets = np.frombuffer(at, np.int64, len(coded.dictionary) + 1) if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[: offsets[-1]] if offsets[-1] else np.zeros(0, np.uint8), offsets, coded.indices.to_numpy(zero_copy_only=False)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray | None = None, stem: int = 0) -> tuple[np.ndarray, ...]:
     """(start, end, hash) of every maximal run of bytes marked in ``inside``; runs end at the ends of texts.
 

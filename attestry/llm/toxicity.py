@@ -56,9 +56,12 @@ INSIDE = textbuf.byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)
 KIND = "struct<score:double,segments:array<struct<start:long,stop:long,score:double,p_value:double>>>"
 
 
-def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    start, _, word, stem = textbuf.words(raw, offsets, INSIDE, textbuf.ascii_lower(), STEM)
-    return word, stem, np.searchsorted(start, offsets)
+def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the different words, of their stems (0 for shorter words), the word at each place, where each text's places begin)."""
+    start, words = textbuf.word_values(raw, offsets, INSIDE, textbuf.ascii_lower())
+    body, edges, at = textbuf.different(words)
+    _, _, word, stem = textbuf.words(body, edges, np.ones(256, bool), None, STEM)
+    return word, stem, at, np.searchsorted(start, offsets)
 
 
 def _among(token: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -83,18 +86,15 @@ def token_counts(texts: DataFrame, classes: list[str], words: np.ndarray | None
             raw, offsets = textbuf.buffers(batch.column(0))
             weights = [batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(classes))]
             for i, j in textbuf.doc_groups(offsets):
-                word, stem, first = _tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                rows = np.repeat(np.arange(j - i), np.diff(first))
-                token, where = word, rows
-                if words is not None:
-                    rare = np.flatnonzero((stem != 0) & ~_among(word, words))
-                    token, where = np.concatenate([word, stem[rare]]), np.concatenate([rows, rows[rare]])
-                if only is not None:
-                    keep = _among(token, only)
-                    ids, at, where = only, np.searchsorted(only, token[keep]), where[keep]
-                else:
-                    ids, at = np.unique(token, return_inverse=True)
-                at, where = np.divmod(np.unique(at * (j - i) + where), j - i)
+                n = j - i
+                word, stem, at, first = _tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                rare = (stem != 0) & ~_among(word, words) if words is not None else np.zeros(len(word), bool)
+                ids = np.unique(np.concatenate([word, stem[rare]])) if only is None else only
+                # Of every text each word once, and of these the stems once.
+                which, where = np.divmod(np.unique(at.astype(np.int64) * n + np.repeat(np.arange(n), np.diff(first))), n)
+                known, less = _among(word, ids)[which], (rare & _among(stem, ids))[which]
+                stems = np.unique(np.searchsorted(ids, stem)[which[less]] * n + where[less])
+                at, where = np.concatenate([np.searchsorted(ids, word)[which[known]], stems // n]), np.concatenate([where[known], stems % n])
                 sums = [np.bincount(at, w[i:j][where], len(ids)).astype(np.int64) for w in weights]
                 on = np.flatnonzero(np.any(sums, axis=0))
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(ids[on].view(np.int64), 0)), *[pa.array(np.append(s[on], w[i:j].sum())) for s, w in zip(sums, weights, strict=True)]], schema=kind)
@@ -157,7 +157,7 @@ class Model:
     weights: np.ndarray
 
     def values(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
-        """The score of every token."""
+        """The score of each word."""
         value = np.full(len(word), labelled.grid(DRIFT))
         if len(self.token):
             for tokens in (stem, word):
@@ -171,8 +171,8 @@ class Model:
         raw, offsets = textbuf.buffers(texts)
         out: list[tuple[int, list[tuple[int, int, float]]]] = []
         for i, j in textbuf.doc_groups(offsets):
-            word, stem, first = _tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            value = self.values(word, stem)
+            word, stem, at, first = _tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            value = self.values(word, stem)[at]
             total = np.concatenate([[0.0], np.cumsum(value)])
             place = np.flatnonzero(value > 0)
             edge = np.searchsorted(place, first)
@@ -220,7 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
         found += model.found(pa.array([t for t, _ in part], pa.large_string()))
         classes += [c for _, c in part]
         raw, offsets = textbuf.buffers(pa.array([t for t, c in part if not c], pa.large_string()))
-        for x, n in zip(*np.unique(model.values(*_tokens(raw, offsets)[:2]), return_counts=True), strict=True):
+        word, stem, at, _ = _tokens(raw, offsets)
+        for x, n in zip(*np.unique(model.values(word, stem)[at], return_counts=True), strict=True):
             spread[x] = spread.get(x, 0) + int(n)
     model.decay = decay(np.array(list(spread)), np.array(list(spread.values()), float))
     # K by the mean of K n exp(-lambda S) over best segments of clean documents, which is 1 for extreme values of this kind.
