@@ -50,7 +50,8 @@ def prepared(conversations: DataFrame, conv: str, turn: str, role: str, text: st
     out = conversations.select(F.monotonically_increasing_id().alias("row"), column(conv).alias("conv"), column(turn).cast("long").alias("turn"), F.coalesce(column(role).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
     out = out.withColumn("lines", F.when(F.col("text").contains(">"), lines))
     body = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
-    return out.withColumn("body", F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))).drop("text")
+    # Written once: quotes, originals and the result read it, and ``row`` must stay the same.
+    return cut(out.withColumn("body", F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))).drop("text"))
 
 
 def quotes(messages: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 A rule (host, path) becomes the key ``labels of the host, last first # path``,
 and covers the interval of all keys that begin with it. An address appears once
-for each suffix of its host, with the key that a rule of that suffix would
-have, so a rule fits if and only if one of the address's keys lies in the rule's
-interval. Intervals of prefixes are nested or apart: a sweep over rules and
+for each suffix of its host that has no more labels than some rule, with the key
+that a rule of that suffix would have, so a rule fits if and only if one of the
+address's keys lies in the rule's interval. Intervals of prefixes are nested or apart: a sweep over rules and
 addresses in key order keeps the open rules on a stack, whose top is the most
 specific one.
 
@@ -21,7 +21,8 @@ equal rules with different verdicts, block. Addresses that no rule fits get
 Defined results: null addresses and those without ``://`` have an empty host and
 path, which no rule with a host fits; empty labels and ports are kept as they
 are; rules with a null host or verdict are ignored, a null path is empty;
-repeated rows are judged each; further columns pass.
+hosts and paths of any length are judged whole; repeated rows are judged each;
+further columns pass.
 """
 
 from __future__ import annotations
@@ -51,9 +52,9 @@ def reversed_key(host: Column, path: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("#"), path)
 
 
-def suffix_keys(host: Column, path: Column) -> Column:
-    """The keys of every suffix of the host, whole labels at a time."""
-    labels = F.reverse(F.split(host, r"\."))
+def suffix_keys(host: Column, path: Column, most: int) -> Column:
+    """The keys of every suffix of the host, whole labels at a time, up to ``most`` of them."""
+    labels = F.slice(F.reverse(F.split(host, r"\.")), 1, most)
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit("#"), path))
 
 
@@ -61,20 +62,21 @@ def match(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule_host, rule_path, verdict) for every distinct (host, path) that some rule fits."""
     spark = addresses.sparkSession
     ship(spark)
-    points = addresses.select("host", "path", F.explode(suffix_keys(F.col("host"), F.col("path"))).alias("key"))
+    own = rules.select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict").filter("rule_host IS NOT NULL AND verdict IS NOT NULL")
+    own = own.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict")).withColumn("key", reversed_key(F.col("rule_host"), F.col("rule_path")))
+    most = own.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 1
+    points = addresses.select("host", "path", F.explode(suffix_keys(F.col("host"), F.col("path"), most)).alias("key"))
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sampled = points.select(F.substring("key", 1, BORDER).alias("key"), F.substring("host", 1, BORDER).alias("host")).orderBy(F.xxhash64("key", "host"), "key", "host").limit(ranges * SAMPLED).collect()
     ordered = sorted({(r[0], r[1]) for r in sampled})
     borders = spark.sparkContext.broadcast([ordered[k * len(ordered) // ranges] for k in range(1, ranges)] if ordered else [])
-    own = rules.select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict").filter("rule_host IS NOT NULL AND verdict IS NOT NULL")
-    own = own.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict")).withColumn("key", reversed_key(F.col("rule_host"), F.col("rule_path")))
     names = ["range", "key", "is_address", "host", "path", "verdict"]
     kind = "range int, key string, is_address int, host string, path string, verdict string"
 
     def deal_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = borders.value
         for x in batches:
-            at = [bisect_right(b, (k, h)) for k, h in zip(x.column("key").to_pylist(), x.column("host").to_pylist(), strict=True)]
+            at = [bisect_right(b, pair) for pair in zip(x.column("key").to_pylist(), x.column("host").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), x.column("key"), pa.array([1] * len(at), pa.int32()), x.column("host"), x.column("path"), pa.nulls(len(at), pa.string())], names)
 
     def deal_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
