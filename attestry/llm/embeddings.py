@@ -4,11 +4,13 @@ A table hashes a vector to the signs of ``bits`` random projections. Vectors at
 the threshold agree in a sign with probability p = 1 - acos(threshold) / pi, so
 ``tables`` is chosen such that a pair at the threshold shares a bucket of some
 table with probability ``RECALL`` (closer pairs with more). ``bits`` grows with
-the logarithm of the rows, which keeps chance company in a bucket constant; no
-pair is dropped by it, as the tables grow along.
+the logarithm of the rows, which keeps chance company constant: one vector in
+eight has any in a table; no pair is dropped by it, as the tables grow along.
 
-Equal vectors are one class with a count before they are hashed. In a bucket,
-pairs get their exact cosine in double precision; a pair is counted in the first
+Equal vectors are one class with a count before they are hashed. Keys and ids
+alone find the buckets; a vector, in the type that it came in, and its codes
+follow only where it has company. In a bucket, pairs get their exact cosine in
+double precision; a pair is counted in the first
 table where it meets, so that links are counted without being listed. Edges are
 spanning edges of a bucket's linked pairs.
 
@@ -27,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm import graph
+from attestry.llm import graph, textbuf
 from attestry.llm.shared import column, cut, ship
 
 THRESHOLD, RECALL, LEAST_BITS, SEED = 0.95, 0.995, 10, 11
+#: A table has two to this power more buckets than there are rows.
+SPARSE = 3
 
 
 def layout(rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """(bits, tables) for so many rows."""
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, rows))))
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, rows))) + SPARSE)
     together = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log1p(-together))
 
@@ -49,14 +53,15 @@ def usable(vector) -> F.Column:
     return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _codes(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(key, id, vector, codes, n, table) once for each table; codes are those of all tables."""
+def _codes(distinct: DataFrame, bits: int, tables: int, single: bool) -> DataFrame:
+    """(id, keys, size, vector, codes): the bucket key of every table, and the codes that it is made of; vector as bytes of floats or doubles."""
     ship(distinct.sparkSession)
-    kind = "key long, id long, vector binary, codes binary, n long, table int"
+    kind = "id long, keys array<long>, size int, vector binary, codes binary"
+    width = np.uint32 if bits <= 32 else np.uint64
 
     def run(batches):
         for batch in batches:
-            ids, counts = batch.column("id").to_numpy(), batch.column("n").to_numpy()
+            ids = batch.column("id").to_numpy()
             rows = batch.column("vector").to_pylist()
             sizes = np.array([len(v) for v in rows])
             for size in np.unique(sizes):
@@ -70,38 +75,38 @@ def _codes(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                     signs = (unit @ normal > 0).reshape(len(part), tables, bits)
                     code = (signs * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
-                    key = (code * np.uint64(tables) + np.arange(tables, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size)
-                    n = len(part)
-                    where = np.repeat(np.arange(n), tables)
-                    vectors, codes = [x.tobytes() for x in v], [x.tobytes() for x in code]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids[part], tables)), pa.array(vectors, pa.binary()).take(pa.array(where)), pa.array(codes, pa.binary()).take(pa.array(where)), pa.array(np.repeat(counts[part], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n))],
-                        ["key", "id", "vector", "codes", "n", "table"],
-                    )
+                    key = textbuf.mix((code * np.uint64(tables) + np.arange(tables, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size))
+                    keys = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * tables, pa.int32()), pa.array(key.view(np.int64).ravel()))
+                    vectors = [x.tobytes() for x in (v.astype(np.float32) if single else v)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part]), keys, pa.array(np.full(len(part), size, np.int32)), pa.array(vectors, pa.binary()), pa.array([x.tobytes() for x in code.astype(width)], pa.binary())], ["id", "keys", "size", "vector", "codes"])
 
-    return distinct.select("id", "vector", "n").mapInArrow(run, kind)
+    return distinct.select("id", "vector").mapInArrow(run, kind)
 
 
 def near_duplicates(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
+    single = dict(vectors.dtypes)[vec] == "array<float>"
     given = vectors.select(column(key).cast("long").alias("id"), column(vec).cast("array<double>").alias("vector"))
     # -0.0 and 0.0 are one value.
     given = given.withColumn("vector", F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + F.lit(0.0))))
     sums = cut(given.filter("vector IS NOT NULL").groupBy("vector").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumn("id", F.monotonically_increasing_id()))
     bits, tables = layout(sums.count(), threshold)
+    coded = cut(_codes(sums, bits, tables, single))
+    met = cut(graph.in_company(coded.select(F.posexplode("keys").alias("table", "key"), "id")))
+    payload = coded.drop("keys").join(sums.select("id", "n"), "id")
 
     def meets(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Pairs of this table that met in no earlier one and whose cosine reaches the threshold."""
-        v = c["vector"].view(np.float64)
+        v, codes = c["vector"].view(np.float32 if single else np.float64), c["codes"].view(np.uint32 if bits <= 32 else np.uint64)[:, :tables]
         out = np.zeros(len(a), bool)
         for lo in range(0, len(a), 8192):
             x, y = a[lo : lo + 8192], b[lo : lo + 8192]
-            p, q = v[x], v[y]
+            p, q = v[x].astype(np.float64), v[y].astype(np.float64)
             p = p / np.abs(p).max(axis=1, keepdims=True)
             q = q / np.abs(q).max(axis=1, keepdims=True)
             cosine = np.einsum("ij,ij->i", p, q) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q))
-            near = np.flatnonzero(cosine >= threshold)
-            same = c["codes"][x[near]] == c["codes"][y[near]]
+            near = np.flatnonzero((cosine >= threshold) & (c["size"][x] == c["size"][y]))
+            same = codes[x[near]] == codes[y[near]]
             out[lo + near[same.argmax(axis=1) == c["table"][x[near]]]] = True
         return out
 
@@ -115,7 +120,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", key: str = "vec_
         none = np.zeros(len(x), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, c["id"][on]])), pa.array(np.concatenate([y, c["id"][on]])), pa.array(np.concatenate([none, count[on]]))], ["a", "b", "links"])
 
-    found = cut(graph.compare(_codes(sums, bits, tables), meets, "a long, b long, links long", emit))
+    found = cut(graph.compare(met, meets, "a long, b long, links long", emit, payload))
     counts = found.filter("links > 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     group = graph.components(found.filter("links = 0"))
     classes = sums.join(counts, "id", "left").join(group, F.col("id") == F.col("node"), "left").select("vector", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("class"))

@@ -32,9 +32,18 @@ def cells(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).drop("pieces", "other")
 
 
-def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], kind: str, emit: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+def in_company(keyed: DataFrame, broadcast_below: int = 1_000_000) -> DataFrame:
+    """The rows (key, id, ...) whose key more than one id has."""
+    keys = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key"))
+    return keyed.join(F.broadcast(keys) if keys.count() <= broadcast_below else keys, "key", "left_semi")
+
+
+def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], kind: str, emit: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch], payload: DataFrame | None = None) -> DataFrame:
     """Compares the rows (key, id, ...) of each bucket with one another and returns what ``emit`` makes of a batch and its verified pairs.
 
+    ``payload`` (id, ...) is joined to the rows once they have their cells, so
+    that what finds the cells moves without it.
+
     Whole cells are gathered from the sorted partition, a batch at a time; at
     most one cell, of some 2 PIECE rows, waits for its end. verify gets the
     columns and two index arrays, all calls for a batch with the same columns.
@@ -43,6 +52,8 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
     """
     ship(rows.sparkSession)
     placed = cells(rows)
+    if payload is not None:
+        placed = placed.join(payload, "id")
     names = placed.columns
 
     def columns(table: pa.Table) -> dict[str, np.ndarray]:
@@ -51,7 +62,7 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
             c = table[name].combine_chunks()
             if pa.types.is_binary(c.type):
                 values = c.to_pylist()
-                width = max(map(len, values), default=0)
+                width = -(-max(map(len, values), default=0) // 8) * 8
                 raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in values), np.uint64)
                 out[name] = raw.reshape(len(c), -1)
             elif pa.types.is_list(c.type):

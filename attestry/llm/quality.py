@@ -40,6 +40,8 @@ BITS, SIZE, GRAMS = 18, 8, (2, 3, 4, 5)
 #: Passes over the sample, and the steps that a small sample is repeated for.
 ROUNDS, LEAST_STEPS = 4, 12_000
 INSIDE = ~textbuf.byte_set((0x00, 0x20), (0x7F, 0x7F))
+#: Bytes of text that are split at a time (a longer text alone), and characters whose n-grams are hashed at a time: temporary arrays take some 100 bytes for each.
+GROUP, CHARS = 1 << 20, 1 << 18
 #: Bytes that stand before and behind a word; words never hold them.
 BEGIN, END = 0x02, 0x03
 THRESHOLD = 0.3
@@ -60,8 +62,8 @@ def word_buckets(body: np.ndarray, at: np.ndarray):
     word = np.searchsorted(edge, chars, "right") - 1
     chars = np.append(chars, len(raw))
     with np.errstate(over="ignore"):
-        for lo in range(0, len(word), textbuf.PIECE):
-            hi = min(len(word), lo + textbuf.PIECE)
+        for lo in range(0, len(word), CHARS):
+            hi = min(len(word), lo + CHARS)
             part = raw[chars[lo] : chars[min(len(word), hi + max(GRAMS))]]
             up, down = textbuf.powers(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
@@ -95,7 +97,7 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         raw, offsets = textbuf.buffers(texts)
         out = []
-        for i, j in textbuf.doc_groups(offsets):
+        for i, j in textbuf.doc_groups(offsets, GROUP):
             words, at, doc, again = split_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             n = len(words[1]) - 1
             value, features = np.zeros(n), np.zeros(n)

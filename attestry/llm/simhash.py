@@ -4,16 +4,11 @@ A fingerprint bit is set where over half of a text's word shingles (repeats
 included) have it set in their hash. ``words`` 64-bit words of fingerprint come
 from one XXH64 of each shingle (seed 42) and mixes of it.
 
-Exact search (the default; one word, at most ``distance`` bits apart): of
-``distance`` + 6 blocks of bits, all but ``distance`` are equal in a close pair,
+Search is exact: of ``distance`` + 6 blocks of bits, all but ``distance`` are equal in a close pair,
 so two close fingerprints share the bucket of some choice of blocks. Verified
 pairs then differ in few known bits, and a bucket of distinct fingerprints can't
 have more than two to the power of the bits left out.
 
-Wide search (several words): every block of ``BLOCK`` bits is a bucket key, and
-pairs that share one are verified on all bits. A pair of similarity s shares
-some block with a probability below one, and lower for texts of few shingles.
-
 ``keep_one`` needs every pair of a similarity: buckets are shingles, of each set
 so many that no such pair misses all its buckets, whatever the texts' lengths;
 fingerprints of distinct shingles then reject the pairs that are far apart, and
@@ -45,14 +40,10 @@ from attestry.llm import graph, textbuf
 from attestry.llm.shared import column, cut, free_name, text_map
 
 SEED = 42
-#: Bits of a block in wide search, and blocks in a word.
-BLOCK, PER_WORD = 14, 4
 #: The pipeline's similarity, as a fraction: SHARED / PARTS.
 SHARED, PARTS = 4, 5
 #: One of so many texts is looked at for frequent shingles, those that so many of them hold, and so many shingles at most.
 SAMPLED, OFTEN, FREQUENT = 50, 8, 100_000
-#: Shared keys that are broadcast; beyond that many the join is shuffled.
-BROADCAST_SHARED = 1_000_000
 #: Hashes whose pairs are counted out at a time.
 COUNTED = 1 << 21
 #: The pipeline's fingerprints: nine words, and as many differing bits as sets of similarity 0.8 have at worst (4 of 5 shingles, 108 on average), and six standard deviations more.
@@ -157,12 +148,6 @@ def frequent(placed: DataFrame, place: str, text: str, size: int) -> np.ndarray:
     return np.sort(np.array([r["hash"] for r in found], np.int64).view(np.uint64))
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The rows (key, id) whose key more than one id has."""
-    keys = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key"))
-    return keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_SHARED else keys, "key", "left_semi")
-
-
 def shingle_set(text: Column, size: int) -> Column:
     """The hashes of the whole text's distinct shingles, as an array of longs."""
 
@@ -241,31 +226,29 @@ def _long_at(binary: Column, k: int) -> Column:
     return F.conv(digits, 16, -10).cast("long")
 
 
-def block_keys(words: list[Column], distance: int) -> Column:
+def block_keys(print_: Column, distance: int) -> Column:
     """The bucket keys of a fingerprint, as an array of hashes."""
-    if len(words) > 1:
-        return F.array(*[F.xxhash64(F.lit(w), F.lit(k), F.shiftrightunsigned(x, BLOCK * k).bitwiseAND(F.lit((1 << BLOCK) - 1))) for w, x in enumerate(words) for k in range(PER_WORD)])
     n = distance + 6
     edges = [64 * k // n for k in range(n + 1)]
     masks = []
     for left_out in combinations(range(n), distance):
         bits = reduce(int.__or__, (((1 << edges[k + 1]) - (1 << edges[k])) for k in range(n) if k not in left_out))
         masks.append(bits - (1 << 64) if bits >> 63 else bits)
-    return F.array(*[F.xxhash64(F.lit(k), words[0].bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)])
+    return F.array(*[F.xxhash64(F.lit(k), print_.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)])
 
 
-def classes(prints: DataFrame, words: int, distance: int) -> DataFrame:
+def classes(prints: DataFrame, distance: int) -> DataFrame:
     """(print, class): the component of every distinct fingerprint, named by one of its fingerprints' ids."""
-    distinct = cut(prints.select("print").distinct().withColumn("id", _long_at(F.col("print"), 0) if words == 1 else F.xxhash64("print")))
-    keyed = distinct.select(F.explode(block_keys([_long_at(F.col("print"), w) for w in range(words)], distance)).alias("key"), "id", "print")
+    distinct = cut(prints.select("print").distinct().withColumn("id", _long_at(F.col("print"), 0)))
+    keyed = distinct.select(F.explode(block_keys(F.col("id"), distance)).alias("key"), "id", "print")
     found = graph.components(graph.links(keyed, close(distance)))
     return distinct.join(found, F.col("id") == F.col("node"), "left").select("print", F.coalesce("component", "id").alias("class"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, words: int = 1, text: str = "text", doc: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(doc, print, component_id) for every row: its fingerprint, and the smallest id of the documents that links reach."""
-    prints = cut(docs.select(column(doc).alias("doc"), fingerprint(column(text), size, words).alias("print")))
-    by_print = cut(classes(prints, words, distance))
+    prints = cut(docs.select(column(doc).alias("doc"), fingerprint(column(text), size).alias("print")))
+    by_print = cut(classes(prints, distance))
     first = prints.groupBy("print").agg(F.min("doc").alias("doc")).join(by_print, "print")
     least = first.groupBy("class").agg(F.min("doc").alias("component_id"))
     named = cut(by_print.join(least, "class").select("print", "component_id"))
@@ -288,7 +271,7 @@ def keep_one(docs: DataFrame, size: int = 5, words: int = WIDE, distance: int =
     sketched = placed.select(column(place).alias("place"), column(doc).alias("doc"), sketch(column(text), size, words, often).alias("sketch"))
     one = F.struct(F.col("doc").isNull().alias("none"), "doc", "place", F.col("sketch.print").alias("print"), F.col("sketch.keys").alias("keys"))
     best = cut(sketched.groupBy("sketch.same").agg(F.min(one).alias("best")).select(F.xxhash64("same").alias("id"), "best"))
-    shared = cut(shared_keys(best.select(F.explode("best.keys").alias("key"), "id")))
+    shared = cut(graph.in_company(best.select(F.explode("best.keys").alias("key"), "id")))
     near = graph.components(graph.links(shared.join(best.select("id", F.col("best.print").alias("print")), "id"), close(distance)))
     members = cut(best.join(near, F.col("id") == F.col("node")).select(F.col("component").alias("key"), "id", F.col("best.print").alias("print"), F.col("best.place").alias(place)))
     sets = placed.select(place, column(text).alias("text")).join(members, place).select("key", "id", "print", shingle_set(F.col("text"), size).alias("shingles"))

@@ -52,7 +52,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def doc_groups(offsets: np.ndarray, limit: int = 4 * PIECE) -> Iterator[tuple[int, int]]:
+def doc_groups(offsets: np.ndarray, limit: int = 2 * PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of texts with at most ``limit`` bytes together, or a single longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:
