@@ -1,13 +1,16 @@
 """Personal data by a semi-Markov conditional random field.
 
-Candidate segments around digits, ``@`` and ``+`` are scored as whole spans
-(shape, digit count, checksum, surroundings, cue words before them); a segment
-holds at most ``MOST_PARTS`` parts. Dynamic programming over a region of text
+Candidate segments are scored as whole spans (shape, digit count, checksum,
+surroundings, cue words before them): runs of digits and the signs between them
+where a region holds at least seven digits, of at most 19 digits in six runs;
+account numbers; and addresses with ``@`` or with ``at`` and ``dot`` written
+out. A segment holds at most ``MOST_PARTS`` parts; what these bounds leave out
+the model doesn't propose, while base spans may have any length. Dynamic programming over a region of text
 chooses boundaries and types together, and every stretch outside entities costs
 what its parts cost. The weights are the maximum-likelihood fit, by gradient
 ascent on the exact lattice, to sentences that are generated here from a fixed
 seed: spans of each type in several notations, and numbers that are no personal
-data (dates, versions, sums, times, counts).
+data (dates, versions, sums, times, counts, and prose with ``at`` and ``dot``).
 
 Segments of the base patterns below are candidates too, of any length, and carry
 a potential that no path without them reaches; where two base segments of
@@ -52,10 +55,17 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Where the model looks: runs of signs that occur in numbers and addresses, with a digit or an ``@`` in them.
 _REGION = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,8}(?: ?[A-Z0-9]{1,3})?|[+(]*[0-9][0-9 ().+/:,-]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,8}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Where an address may be that isn't written with an ``@``: what stands for it, and what stands around it.
+_HINTS = (" dot ", "(dot", "[dot", "{dot", "(at", "[at", "{at")
+_AT = re.compile(r" ?[\[({] ?[aA][tT] ?[\])}] ?| [aA][tT] |@")
+_NAME = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
+_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?[dD][oO][tT] ?[\])}] ?| [dD][oO][tT] |\.)[A-Za-z0-9-]{2,63}){1,4}")
+#: Frequent last labels of hosts.
+ENDINGS = frozenset("com org net edu gov info io de fr es it uk eu ch at us example".split())
 _PART = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _CUE = re.compile(r"[A-Za-z]+")
 #: Words that announce a type when they stand just before it.
-CUES = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "cell": "phone", "ssn": "ssn", "social": "ssn", "security": "ssn", "card": "card", "visa": "card", "iban": "iban", "account": "iban", "ip": "ip", "host": "ip", "version": "other", "date": "other", "total": "other", "page": "other", "pages": "other", "order": "other", "year": "other"}
+CUES = {"mail": "email", "email": "email", "write": "email", "contact": "email", "reach": "email", "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "cell": "phone", "ssn": "ssn", "social": "ssn", "security": "ssn", "card": "card", "visa": "card", "iban": "iban", "account": "iban", "ip": "ip", "host": "ip", "version": "other", "date": "other", "total": "other", "page": "other", "pages": "other", "order": "other", "year": "other"}
 
 
 def luhn(digits: str) -> bool:
@@ -91,9 +101,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def hidden(text: str) -> list[tuple[int, int]]:
+    """Where an address with ``at`` and ``dot`` written out may stand."""
+    low = text.lower()
+    if not any(x in low for x in _HINTS):
+        return []
+    out, used = [], 0
+    for m in _AT.finditer(text):
+        name = _NAME.search(text, max(used, m.start() - 64), m.start())
+        host = _HOST.match(text, m.end()) if name else None
+        if host and (m[0] != "@" or not _DOMAIN.fullmatch(host[0])) and (m[0].strip().lower() != "at" or " " in host[0] or any(c in host[0] for c in "[({")):
+            out.append((name.start(), host.end()))
+            used = host.end()
+    return out
+
+
 def features(text: str, start: int, stop: int, kind: str) -> list[str]:
     """Whole-span features of a segment of one type."""
     body = text[start:stop]
+    if kind == "email":
+        words = _CUE.findall(text[max(0, start - 24) : start])
+        sign = next((x for x in "@([{" if x in body), "word")
+        last = re.split(r"[^A-Za-z0-9-]+", body)[-1]
+        dots = "plain" if re.search(r"[A-Za-z0-9]\.[A-Za-z0-9-]+$", body) else "bracket" if body.count(")") + body.count("]") + body.count("}") > 1 else "word"
+        found = ["bias", f"sign {sign}", f"dots {dots}", f"end {last.lower() in ENDINGS}", f"cue {next((CUES[w.lower()] for w in reversed(words[-3:]) if w.lower() in CUES), 'none')}", f"name {any(c in '._0123456789' for c in re.split(r'[ @([{]', body)[0])}"]
+        return [f"email {x}" for x in found]
     digits = "".join(c for c in body if "0" <= c <= "9")
     shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 9)}", body))
     words = _CUE.findall(text[max(0, start - 24) : start])
@@ -106,6 +138,8 @@ def features(text: str, start: int, stop: int, kind: str) -> list[str]:
         found.append(f"luhn {luhn(digits)}")
     if body[0] in "+(":
         found.append("opens " + body[0])
+    elif kind == "phone" and not body.strip("0123456789 "):
+        found.append(f"spaced {digits[0] == '0'} {cue}")
     return [f"{kind} {x}" for x in found]
 
 
@@ -119,6 +153,10 @@ def segments(text: str, start: int, stop: int) -> tuple[list[int], list[tuple[in
     for i, first in enumerate(parts):
         if edges[i] and text[edges[i] - 1].isalnum():
             continue
+        if not i and (text[start:stop].find("@") > 0 or first[0].isalpha() and hidden(text[start:stop]) == [(0, stop - start)]):
+            if n <= MOST_PARTS:
+                out.append((0, n, "email"))
+            continue
         if len(first) == 2 and first.isupper() and i + 1 < n and len(parts[i + 1]) >= 2:
             m = _IBAN.match(text, edges[i], stop)
             if m and m.end() in (found := set(edges[i : i + MOST_PARTS + 1])):
@@ -151,6 +189,11 @@ def segments(text: str, start: int, stop: int) -> tuple[list[int], list[tuple[in
     return edges, out
 
 
+def number_regions(text: str) -> list[tuple[int, int]]:
+    """Where the model looks for numbers."""
+    return [(m.start(), m.start() + len(m[0].rstrip(" ().+/:,-"))) for m in _REGION.finditer(text) if sum(map(str.isdigit, m[0])) >= 7]
+
+
 def outside(part: str) -> list[str]:
     """Features of a part that is in no entity."""
     return [f"out d{min(len(part), 9)}" if part.isdigit() else "out a" if part.isalpha() else "out s"]
@@ -190,12 +233,13 @@ class Model:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """All base spans, and what the model adds beside them, by start, then kind as listed."""
         base = base_spans(text)
-        if not base and not any(c in text for c in "0123456789"):
+        masked = hidden(text)
+        if not base and not masked and not any(c in text for c in "0123456789"):
             return []
         order = {k: n for n, k in enumerate(KINDS)}
         kept: list[tuple[int, int, str]] = []
         left, at = sorted(base), 0
-        regions = _joined([(m.start(), m.start() + len(m[0].rstrip(" ().+/:,-"))) for m in _REGION.finditer(text) if sum(map(str.isdigit, m[0])) >= 7] + [x[:2] for x in base])
+        regions = _joined(number_regions(text) + masked + [x[:2] for x in base])
         for start, stop in regions:
             first = at
             while at < len(left) and left[at][0] < stop:
@@ -239,7 +283,7 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def examples(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def examples(n: int = 1500, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Generated sentences with their entities."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -250,8 +294,25 @@ def examples(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int
         body += next(d for d in "0123456789" if luhn(body + d))
         return r.choice([body, " ".join(body[i : i + 4] for i in range(0, 16, 4)), "-".join(body[i : i + 4] for i in range(0, 16, 4))])
 
+    def phone() -> str:
+        if r.random() < 0.5:
+            return foreign()
+        # National numbers in groups: with a zero before them, or announced.
+        led = r.random() < 0.5
+        body = r.choice([f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(4)} {num(6)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}"]) if led else f"{r.randint(2, 9)}{num(2)} {num(3)} {num(4)}"
+        if not led or r.random() < 0.5:
+            body = "\0" + body
+        return body
+
+    def email() -> str:
+        at, dot = r.choice([("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("[at]", "."), (" [at] ", " [dot] "), ("(at)", ".")])
+        return r.choice([word(), word() + "." + word(), word() + str(r.randint(1, 99))]) + at + word() + dot + r.choice(["com", "org", "net", "de", "example"])
+
+    foreign = lambda: r.choice([
+        f"+{r.randint(1, 99)} {num(3)} {num(3)} {num(4)}", f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"])
     own = {
-        "phone": lambda: r.choice([f"+{r.randint(1, 99)} {num(3)} {num(3)} {num(4)}", f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]),
+        "email": email,
+        "phone": phone,
         "card": card,
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "ssn": lambda: f"{num(3)}-{num(2)}-{num(4)}",
@@ -259,7 +320,8 @@ def examples(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int
     }
     none = [
         lambda: f"{r.randint(1900, 2030)}-{num(2)}-{num(2)}", lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"{num(1)}.{num(2)}.{num(1)}", lambda: num(r.randint(1, 14)), lambda: f"{num(3)},{num(3)},{num(3)}", lambda: f"{num(4)}-{num(4)}",
-        lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: " ".join(num(r.randint(1, 4)) for _ in range(r.randint(2, 7))), lambda: f"{num(r.randint(4, 6))}.{num(r.randint(3, 7))}", lambda: f"{num(3)} {num(3)} {num(4)}", lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}", lambda: f"{num(3)} {num(2)} {num(4)}",
+        lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: " ".join(num(r.randint(1, 4)) for _ in range(r.randint(2, 7))), lambda: f"{num(r.randint(4, 6))}.{num(r.randint(3, 7))}", lambda: f"{num(3)} {num(3)} {num(4)}", lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}", lambda: f"{num(3)} {num(2)} {num(4)}", lambda: f"{r.randint(2, 9)}{num(2)} {num(3)} {num(4)}",
+        lambda: f"{r.randint(1, 9)}{num(3)} {num(3)} {num(3)}", lambda: f"met {word()} at {word()} dot {word()} there", lambda: f"{word()} (at {word()}) dot", lambda: f"{word()} at {word()} dot dot {word()}",
     ]
     cues = [c for c, k in CUES.items() if k == "other"]
     out = []
@@ -269,9 +331,10 @@ def examples(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int
             text += " ".join(word() for _ in range(r.randint(0, 4))) + " "
             if r.random() < 0.5:
                 kind = r.choice(list(own))
-                if r.random() < 0.4:
-                    text += r.choice([c for c, k in CUES.items() if k == kind] or [word()]) + r.choice([" ", ": "])
                 body = own[kind]()
+                announced, body = body.startswith("\0"), body.removeprefix("\0")
+                if announced or r.random() < 0.4:
+                    text += r.choice([c for c, k in CUES.items() if k == kind] or [word()]) + r.choice([" ", ": ", ". ", f" {word()} at ", f" {word()} "] if announced else [" ", ": "])
                 spans.append((len(text), len(text) + len(body), kind))
             else:
                 text += r.choice([*cues, word()]) + " "
@@ -285,8 +348,7 @@ def fit(sentences: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 1
     """Weights by stochastic gradient ascent on the log-likelihood of the true segmentations (forward and backward sums over the lattice)."""
     lattices = []
     for text, gold in sentences:
-        regions = [(m.start(), m.start() + len(m[0].rstrip(" ().+/:,-"))) for m in _REGION.finditer(text)]
-        for start, stop in regions:
+        for start, stop in _joined(number_regions(text) + hidden(text) + [x[:2] for x in base_spans(text) if x[2] == "email"]):
             edges, found = segments(text, start, stop)
             if not found:
                 continue

@@ -155,9 +155,78 @@ def test_the_field_finds_more_and_masks(spark):
     assert out[1].text is None and out[1].n_chars is None
 
 
+def segmentations(n, arcs, at=0):
+    """Every way through the parts ``at``..n: parts outside, and arcs."""
+    if at == n:
+        yield []
+        return
+    for rest in segmentations(n, arcs, at + 1):
+        yield rest
+    for i, j, kind in arcs:
+        if i == at:
+            for rest in segmentations(n, arcs, j):
+                yield [(i, j, kind), *rest]
+
+
+def test_the_decoder_finds_the_best_of_all_segmentations():
+    m, r, seen = pii.model(), random.Random(31), 0
+    shapes = ["212 555 0187", "10.1.2.3", "123-45-6789", "0171 55 12", "4111 1111 1111 1111", "2020-01-02", "1 22 333", "+1 212 555 0187", "(212) 555-0187"]
+    for _ in range(150):
+        text = r.choice(["call ", "", "page ", "ip "]) + r.choice([" ", "-", "/", ", "]).join(r.choice(shapes) for _ in range(r.randint(1, 2)))
+        for start, stop in pii.number_regions(text):
+            edges, arcs = pii.segments(text, start, stop)
+            n = len(edges) - 1
+            fixed = {(edges[i], edges[j], k): 1e6 for i, j, k in arcs if r.random() < 0.05}
+            part = [m.score(pii.outside(text[edges[k] : edges[k + 1]])) for k in range(n)]
+            own = {a: m.score(pii.features(text, edges[a[0]], edges[a[1]], a[2])) + fixed.get((edges[a[0]], edges[a[1]], a[2]), 0.0) for a in arcs}
+
+            def total(path):
+                inside = {k for i, j, _ in path for k in range(i, j)}
+                return sum(own[a] for a in path) + sum(part[k] for k in range(n) if k not in inside)
+
+            if len(arcs) > 40:
+                continue
+            best = max(map(total, segmentations(n, arcs)))
+            place = {e: k for k, e in enumerate(edges)}
+            assert abs(total([(place[s], place[e], k) for s, e, k in m.decode(text, edges, arcs, fixed)]) - best) < 1e-6 * max(1, abs(best))
+            seen += len(arcs) > 1
+    assert seen > 50
+
+
+@pytest.mark.parametrize(
+    "text,body,kind",
+    [
+        ("call Jane at 212 555 0187", "212 555 0187", "phone"),
+        ("tel. 0171 555 0123 now", "0171 555 0123", "phone"),
+        ("020 7946 0958", "020 7946 0958", "phone"),
+        ("write to joe.b (at) mail (dot) org please", "joe.b (at) mail (dot) org", "email"),
+        ("joe at example dot com", "joe at example dot com", "email"),
+        ("pages 100 200 3000 of", None, None),
+        ("see 212 555 0187 there", None, None),
+        ("we met at noon dot then", None, None),
+        ("in 2020 2021 2022 2023", None, None),
+    ],
+)
+def test_the_field_on_single_lines(text, body, kind):
+    found = [(text[s:e], k) for s, e, k in pii.model().spans(text)]
+    assert found == ([(body, kind)] if body else [])
+
+
+def test_precision_and_recall_of_every_kind():
+    m = pii.model()
+    for kind in pii.KINDS:
+        right = wrong = missed = 0
+        for text, gold in pii.examples(1200, 99):
+            base = set(pii.base_spans(text))
+            found = {x for x in m.spans(text) if x[2] == kind and x not in base - set(gold)}
+            given = {x for x in gold if x[2] == kind and not any(x != b and x[0] < b[1] and b[0] < x[1] for b in base)}
+            right, wrong, missed = right + len(found & given), wrong + len(found - given), missed + len(given - found)
+        assert right >= 0.97 * (right + wrong) > 0 and right >= 0.97 * (right + missed)
+
+
 def test_long_runs_stay_linear():
     m = pii.model()
-    for t in ("a" * 300_000 + "@" + "b" * 100, "1" * 100_000, "1 " * 50_000, "+1" + "-" * 100_000, "1." * 50_000, "@" * 100_000):
+    for t in ("a" * 300_000 + "@" + "b" * 100, "1" * 100_000, "1 " * 50_000, "+1" + "-" * 100_000, "1." * 50_000, "@" * 100_000, "a (at) " * 30_000, " at " * 50_000 + " dot ", "x at y dot " * 20_000, "(at)" * 50_000):
         m.spans(t)
 
 
