@@ -116,6 +116,32 @@ def test_urls_against_brute_force(spark):
     assert urls.digest(pages.limit(0)).count() == 0
 
 
+def test_urls_with_very_long_hosts(spark):
+    hosts = ["a." * 20_000 + "example.com", "x" * 1_000_000 + ".net", "b." * 500_000 + "org", "www.example.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/{'p' * 1000}") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {x.page_id: x for x in urls.digest(pages).collect()}
+    assert [(got[i].host == h, got[i].rule, got[i].verdict) for i, h in enumerate(hosts)] == [(True, "example.com/en/", "block"), (True, None, "allow"), (True, None, "allow"), (True, "www.example.com/en/", "allow")]
+
+
+def test_embeddings_with_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [0.0, 1.0]), (5, [-1.0, 0.0]), (6, [1.0, 0.0, 0.0])]
+    for kind in ("float", "double"):
+        got = sorted(map(repr, map(tuple, embeddings.digest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect())))
+        expected = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, True), (None, 0, None, True), (5, 0, 5, True), (6, 0, 6, True)]
+        assert got == sorted(map(repr, expected))
+
+
+def test_embedding_recall_on_many_vectors(spark):
+    rng = np.random.default_rng(23)
+    centres = rng.standard_normal((700, 32))
+    v = np.float32(np.concatenate([centres, centres[rng.integers(0, 700, 2300)] + 0.2 * rng.standard_normal((2300, 32)), centres[:1] + 0.1 * rng.standard_normal((900, 32))]))
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    found = {x.vec_id: x.n_links for x in embeddings.digest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")).collect()}
+    counts = np.array([found[i] for i in range(len(v))])
+    assert (counts <= links).all() and counts.sum() >= 0.99 * links.sum() > 100_000
+
+
 CHAT = [(1, 0, "user", "Hello there.\nHow are you today?\n\nSecond   paragraph here."), (1, 1, "assistant", "I am fine."), (1, 2, "user", "> how are  you today?\nYes!\n"), (1, 3, "assistant", ">> How are you today?\n> Yes!\nGood reply"), (1, 4, "user", ">I am fine.\nok"), (2, None, "x", None), (None, 0, None, "> nope\n"), (2, 0, "a", ">>> a\n> b\nc"), (2, 5, "a", "")]
 
 
@@ -419,3 +445,39 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     got = sorted((x.doc_id, x.text, x.lang, x.source, x.n_chars, bytes(x.ids), x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert [x[0] for x in got] == [x[0] for x in expected]
     assert got == expected
+
+
+ODD_TEXTS = [None, "", " ", "\n\n", "é" * 50, "x" * 100_000, "same text of more than five words", "same text of more than five words", "word " * 20_000]
+
+
+def test_pipeline_on_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, None if i % 2 else "en", "s", None if t is None else len(t)) for i, t in enumerate(ODD_TEXTS)] + [(None, "a text without an id is kept as well", None, None, None), (3, "an id that is given twice has two texts", "en", "s", 39)]
+    empty = [("documents", kinds), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id string, text string")]
+    for name, given in (("odd", rows), ("none", [])):
+        for table, kind in empty:
+            spark.createDataFrame(given if table == "documents" else [], kind).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # Without labels the classifier rejects nothing; texts without shingles are copies of one another.
+    assert sorted((x.text or "") for x in out) == sorted(["", *{t for t in ODD_TEXTS if t and t.strip()}, "a text without an id is kept as well", "an id that is given twice has two texts"])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    clash = spark.createDataFrame([(1, "some words that nobody else has said", 7, 8, 9, "k")], "doc_id long, text string, place long, found long, score long, `a.b` string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clash, f"{tmp_path}/odd").collect() == clash.collect()
+
+
+def test_only_a_local_master_gets_a_temporary_checkpoint_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from attestry.llm import shared
+
+    set_to = []
+    empty = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    make = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, _jsc=empty, setCheckpointDir=set_to.append))
+    shared.ensure_checkpoint_dir(make("local[4]"))
+    assert len(set_to) == 1
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared.ensure_checkpoint_dir(make(master))
