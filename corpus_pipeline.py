@@ -52,11 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages; what lies between them is written under the shared checkpoint folder."""
+    """Applies the stages; what lies between them is written under the shared checkpoint folder. A stage's table goes once the next one is written; the last one stays for as long as the result is read, and the folder's owner removes it."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return STAGES[-1][1](spark, docs, sf_dir)
