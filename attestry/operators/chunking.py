@@ -55,8 +55,49 @@ def budget_tokens(chars: int) -> int:
     return max(100, round(chars / 5.5))
 
 
-#: Section headings and their aliases.
-SECTIONS = {"summary": ["summary", "profile", "about me"], "experience": ["experience", "work experience", "employment history"], "education": ["education", "academic background"], "skills": ["skills", "technical skills"], "projects": ["projects", "personal projects"], "certifications": ["certifications", "certificates"]}
+#: Section headings and their aliases; a phrase of several words also counts inside a line.
+SECTIONS = {
+    "summary": ["summary", "professional summary", "about", "profile", "overview", "objective", "career objective", "introduction", "bio", "about me", "career summary", "personal statement", "executive summary"],
+    "skills": ["skills", "technical skills", "technologies", "core skills", "stack", "tech stack", "tools and technologies", "programming languages", "expertise", "competencies", "key skills", "technical proficiencies", "areas of expertise"],
+    "work_experience": ["work experience", "experience", "professional experience", "employment", "career history", "employment history", "work history", "positions held", "relevant experience", "internships", "work", "career"],
+    "education": ["education", "academics", "academic background", "qualifications", "educational background", "degrees", "schooling"],
+    "projects": ["projects", "selected projects", "portfolio", "personal projects", "open source", "side projects", "notable projects", "technical projects"],
+    "certifications": ["certifications", "certification", "licenses", "certificates", "professional certifications", "credentials", "courses"],
+    "achievements": ["achievements", "awards", "honors", "accomplishments", "recognition", "publications"],
+}
+#: Words of a section that isn't cut again, and of the pieces of a longer one.
+WHOLE_SECTION, SECTION_PIECE = 600, 400
+
+
+def clean_lines(text: Column) -> Column:
+    """Line feeds for all line ends, without white space around the text."""
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"^\s+|\s+$", "")
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    return F.filter(F.transform(F.split(text, pattern), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def paragraphs(text: Column) -> Column:
+    """What blank lines part; trimmed, empty ones dropped."""
+    return _parts(text, r"\n{2,}")
+
+
+def units(text: Column) -> Column:
+    """Lines; those of more than 30 words are cut where a sentence ends before a capital, a quote or a bracket."""
+    cut = lambda line: F.when(T.word_count(line) <= 30, F.array(line)).otherwise(_parts(line, r"(?<=[.!?])\s+(?=[A-Z\u00C0-\u024F\u1E00-\u1EFF\"'(])"))
+    return F.flatten(F.transform(_parts(text, r"\n"), cut))
+
+
+def budget_chunks(text: Column, budget: int = 800, overlap: int = 1) -> Column:
+    """Chunks of whole paragraphs within a budget of words; a paragraph beyond it is first cut into groups of sentences."""
+
+    def split(p: Column) -> Column:
+        groups = T.let(budget_groups(_parts(p, r"(?<=[.!?])\s+"), budget, 0), lambda g: F.transform(g, lambda s: F.array_join(s, " ")))
+        return F.when(T.word_count(p) > budget, groups).otherwise(F.array(p))
+
+    pieces = F.flatten(F.transform(paragraphs(clean_lines(text)), split))
+    return F.transform(budget_groups(pieces, budget, overlap), lambda g: F.array_join(g, "\n\n"))
 
 
 def heading(line: Column) -> Column:
@@ -70,6 +111,42 @@ def heading(line: Column) -> Column:
     return F.when((F.length(line) > 80) | (plain == ""), F.lit(None).cast("string")).when(known.isNotNull(), known).when(shout, F.lit("unknown_section"))
 
 
+def section_parts(text: Column) -> Column:
+    """(section, body) in order: the lines under the last heading of at most six words before them; bodies of fewer than five words are dropped. The lines of one text are all that is held."""
+    start = F.array(F.struct(F.lit("preamble").alias("section"), F.array().cast("array<string>").alias("lines")))
+
+    def step(s: Column, line: Column) -> Column:
+        def add(head: Column) -> Column:
+            last = F.element_at(s, -1)
+            longer = F.struct(last["section"].alias("section"), F.concat(last["lines"], F.array(line)).alias("lines"))
+            opened = F.array(F.struct(head.alias("section"), F.array().cast("array<string>").alias("lines")))
+            return F.when(head.isNotNull() & (T.word_count(line) <= 6), F.concat(s, opened)).otherwise(F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(longer)))
+
+        return T.let(heading(line), add)
+
+    folded = F.aggregate(_parts(clean_lines(text), r"\n"), start, step)
+    bodies = F.transform(folded, lambda x: F.struct(x["section"].alias("section"), F.array_join(x["lines"], "\n").alias("body")))
+    return F.filter(bodies, lambda x: T.word_count(x["body"]) >= 5)
+
+
+def section_chunks(text: Column) -> Column:
+    """(section, chunk): sections, longer ones cut into pieces."""
+    pieces = lambda x: F.when(T.word_count(x["body"]) <= WHOLE_SECTION, F.array(x["body"])).otherwise(budget_chunks(x["body"], SECTION_PIECE, 1))
+    return F.flatten(F.transform(section_parts(text), lambda x: F.transform(pieces(x), lambda c: F.struct(x["section"].alias("section"), c.alias("chunk")))))
+
+
+def document_chunks(df: DataFrame, text: str, chars: int = 1200, overlap: int = 150, fine: bool = True, size: int = 3, stride: int = 2, least: int = 8) -> DataFrame:
+    """Rows (chunk_index, chunk, strategy, section): paragraphs within the budget, then (``fine``) windows of sentences and sections; of equal chunks the first stays."""
+    one = lambda xs, strategy: F.transform(xs, lambda c: F.struct(c.alias("chunk"), F.lit(strategy).alias("strategy"), F.lit(None).cast("string").alias("section")))
+    body = clean_lines(F.col(text))
+    parts = [one(budget_chunks(F.col(text), budget_tokens(chars), 1 if overlap > 0 else 0), "paragraph")]
+    if fine:
+        spans = F.filter(F.transform(windows(units(body), size, stride), lambda w: F.array_join(w, " ")), lambda c: T.word_count(c) >= least)
+        parts += [one(spans, "sentence_window"), F.transform(section_chunks(F.col(text)), lambda x: F.struct(x["chunk"].alias("chunk"), F.lit("section").alias("strategy"), x["section"].alias("section")))]
+    first = lambda xs: F.filter(xs, lambda x, i: (F.trim(x["chunk"]) != "") & (F.array_position(F.transform(xs, lambda y: F.trim(y["chunk"])), F.trim(x["chunk"])) == i + 1))
+    return df.withColumn("all", F.concat(*parts)).select(*df.columns, F.posexplode(first(F.col("all"))).alias("chunk_index", "c")).select(*df.columns, F.col("chunk_index").cast("long").alias("chunk_index"), "c.*")
+
+
 def sections(df: DataFrame, key: str, text: str, least: int = 5) -> DataFrame:
     """(key, part, section, body): lines under the last heading before them; bodies of fewer than ``least`` words are dropped."""
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("line", F.trim("line")).withColumn("head", heading(F.col("line")))

@@ -114,7 +114,7 @@ def assembled(chunks: DataFrame, group: str, budget: int, order: list) -> DataFr
     (doc, words) pairs, without the texts.
     """
     ranked = chunks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("doc"), F.col("words")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("kept"))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(f"array<{dict(chunks.dtypes)['doc']}>").alias("kept"))
 
     def step(s, x):
         fits = s["total"] + x["words"] <= budget
