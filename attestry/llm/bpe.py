@@ -16,12 +16,12 @@ path, so what can follow depends on the pairs (state, label begun) that are open
 behind it. Such a set of pairs is a state of the byte table; its row says for
 each byte the next set and the arc that ends there. Rows are made from the
 automaton when they are first asked for. A pre-split word is one run through the
-table, a step a byte, and its arcs are read off from the end. Each different
-word is run once. Decoding concatenates arc labels.
+table, a step a byte, and its arcs are read off from the end. The different
+words of a batch are run side by side. Decoding concatenates arc labels.
 
 Defined results: null and empty texts have no tokens and decode to the empty
-text; texts of any length are encoded whole (words are cached, texts are not);
-repeated rows are encoded alike; other columns pass through untouched, and the
+text; texts of any length are encoded whole;
+repeated rows are encoded alike; no result depends on what the table holds; other columns pass through untouched, and the
 added column gets underscores appended where its name is taken.
 """
 
@@ -30,8 +30,8 @@ from __future__ import annotations
 import functools
 import json
 import re
-import struct
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -67,12 +67,12 @@ def latin_class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
-#: Entries in each worker's tables. A full table of words becomes the old one and a new one begins, so frequent words stay, and a full byte table begins anew; results don't depend on it.
-CACHED_WORDS, CACHED_STEPS = 250_000, 600_000
-#: Bytes of text that are split at a time.
-GROUP = 2 << 20
-#: Longer words are run each time.
+#: Bytes of text that are split at a time, and words that run through the byte table side by side.
+GROUP, SIDE = 2 << 20, 1 << 14
+#: A longer word runs alone.
 LONG = 64
+#: Sets and entries at which a worker's byte table begins anew; results don't depend on it.
+MOST_SETS, MOST_STEPS = 300_000, 1 << 20
 NEVER = 1 << 40
 
 
@@ -83,23 +83,45 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """The ids of words, given as bytes, made when a word is first asked for."""
-
-    def __init__(self, automaton: Automaton):
-        self.automaton, self.old = automaton, {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            path = self.automaton.path(word)
-            ids = struct.pack(f"<{len(path)}I", *path)
-        if len(word) <= LONG:
-            if len(self) >= CACHED_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+class _Table:
+    """Numbers by number, with open addressing in two arrays, so that whole columns are looked up at a time."""
+
+    def __init__(self, most: int):
+        self.size = 1 << (2 * most - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.n = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int64), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (textbuf.mix(keys.astype(np.uint64)) & np.uint64(self.size - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for unknown keys."""
+        out, at, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._slots(keys)
+        while len(at):
+            held = self.keys[slot]
+            hit = held == keys[at]
+            out[at[hit]] = self.values[slot[hit]]
+            on = ~hit & (held >= 0)
+            at, slot = at[on], (slot[on] + 1) & (self.size - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that aren't held, each once; doubles the arrays where they are half full."""
+        if 2 * (self.n + len(keys)) > self.size:
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self.size *= 2
+            self.clear()
+        self.n += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several keys for a slot the last one wins
+            won = free & (self.keys[slot] == keys)
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & (self.size - 1)
 
 
 class Automaton:
@@ -122,26 +144,25 @@ class Automaton:
             a, b = (as_bytes(s) for s in (pair.split(" ") if isinstance(pair, str) else pair))
             self._gadget(time, self.arc[a], self.arc[b], self.arc[a + b])
         # The labels as a tree: the child of a node by a byte, and the arc that a node completes.
-        self.child: dict[int, int] = {}
-        self.done = [-1]
+        child: dict[int, int] = {}
+        done = [-1]
         for s, i in self.arc.items():
             node = 0
             for byte in s:
-                node = self.child.setdefault(node << 8 | byte, len(self.done))
-                if node == len(self.done):
-                    self.done.append(-1)
-            self.done[node] = i
-        inner = [False] * len(self.done)
-        for key in self.child:
+                node = child.setdefault(node << 8 | byte, len(done))
+                if node == len(done):
+                    done.append(-1)
+            done[node] = i
+        inner = [False] * len(done)
+        for key in child:
             inner[key >> 8] = True
-        # By node << 8 | byte what a pair needs of the child: its number, negative where no label goes on, and the arc that it completes.
-        self.next = {key: (node if inner[node] else -1, self.done[node]) for key, node in self.child.items()}
+        # By node << 8 | byte what a pair needs of the child: its number (0 where no label goes on) << 32 | 1 + the arc that it completes.
+        self.next = {key: (node if inner[node] else 0) << 32 | done[node] + 1 for key, node in child.items()}
         self.known: dict[int, bool] = {}
-        self.sets: list[tuple[int, ...]] = []
-        self.number: dict[tuple[int, ...], int] = {}
-        self.table: dict[int, int] = {}
-        self._set((0,))
-        self.words = _Words(self)
+        self.sets: list[bytes] = []
+        self.number: dict[bytes, int] = {}
+        self.table = _Table(1 << 16)
+        self._set([0])
         self.later = regex.compile(f"[{LATER}]")
         # Texts of signs below U+0250 take the standard library's engine, four times as fast with the same classes.
         letter, digit, space = latin_class("L"), latin_class("N"), r"\t-\r\x20\x85\xa0"
@@ -180,45 +201,59 @@ class Automaton:
             arc = self.head[arc]
         return True
 
-    def _set(self, pairs: tuple[int, ...]) -> int:
+    def _set(self, pairs: list[int]) -> int:
         """The number of a set of open pairs, each (state + 1) << 32 | node."""
-        k = self.number.setdefault(pairs, len(self.sets))
+        held = array("q", pairs).tobytes()
+        k = self.number.setdefault(held, len(self.sets))
         if k == len(self.sets):
-            self.sets.append(pairs)
+            self.sets.append(held)
         return k
 
     def _row(self, key: int) -> int:
-        """Fills the table's entry for set << 8 | byte: next set << 32 | arc that ends with the byte."""
-        pairs, byte, next_, known = self.sets[key >> 8], key & 255, self.next, self.known
-        if len(self.table) >= CACHED_STEPS:
-            for full in (self.table, self.number, self.sets, known):
-                full.clear()
-            self._set((0,))
+        """The table's entry for set << 8 | byte: next set << 32 | arc that ends with the byte."""
+        byte, next_, known = key & 255, self.next, self.known
         after, ended = [], -1
-        for pair in pairs:
+        for pair in memoryview(self.sets[key >> 8]).cast("q"):
             found = next_.get((pair & 0xFFFFFFFF) << 8 | byte)
             if found is None:
                 continue
-            node, arc = found
-            if node >= 0:
-                after.append(pair >> 32 << 32 | node)
-            if arc >= 0 and ended < 0:
+            if found >> 32:
+                after.append(pair >> 32 << 32 | found >> 32)
+            if ended < 0 and (arc := (found & 0xFFFFFFFF) - 1) >= 0:
                 has = known.get(at := pair >> 32 << 32 | arc)
                 if has is None:
                     has = known[at] = self.has((pair >> 32) - 1, arc)
                 if has:
                     ended = arc
         after.append((ended + 1) << 32)
-        step = self.table[self._set(pairs) << 8 | byte] = self._set(tuple(after)) << 32 | ended
-        return step
+        return self._set(after) << 32 | ended
+
+    def _steps(self, keys: np.ndarray) -> np.ndarray:
+        """The table's entries; those that it doesn't hold are made."""
+        found = self.table.find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            wanted, which = np.unique(keys[new], return_inverse=True)
+            made = np.array([self._row(k) for k in wanted.tolist()], np.int64)
+            self.table.add(wanted, made)
+            found[new] = made[which]
+        return found
+
+    def _fresh(self) -> None:
+        if len(self.sets) > MOST_SETS or self.table.n > MOST_STEPS:
+            for full in (self.table, self.number, self.sets, self.known):
+                full.clear()
+            self._set([0])
 
     def path(self, word: bytes) -> list[int]:
         """The arcs of the one path that spells ``word``."""
-        table, at, ends = self.table, 0, []
+        at, ends = 0, []
         for byte in word:
-            step = table.get(at << 8 | byte)
-            if step is None:
-                step = self._row(at << 8 | byte)
+            if len(self.sets) > 2 * MOST_SETS + 1:
+                pairs = memoryview(self.sets[at]).cast("q").tolist()
+                self._fresh()
+                at = self._set(pairs)
+            step = int(self._steps(np.array([at << 8 | byte]))[0])
             at = step >> 32
             ends.append(step & 0xFFFFFFFF)
         out, k = [], len(word)
@@ -227,6 +262,40 @@ class Automaton:
             k -= len(self.label[out[-1]])
         return out[::-1]
 
+    def paths(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the arcs of all words one after another, the number of each word's arcs): the words run side by side, a byte of each at a time."""
+        size = np.diff(offsets)
+        counts, rows, places, arcs = np.zeros(len(size), np.int64), [], [], []
+        by = np.argsort(-size, kind="stable")
+        for k in by[: np.count_nonzero(size > LONG)].tolist():
+            self._fresh()
+            found = self.path(body[offsets[k] : offsets[k + 1]].tobytes())
+            rows.append(np.full(len(found), k))
+            places.append(np.arange(-len(found), 0))
+            arcs.append(np.array(found, np.int64))
+        by = by[np.count_nonzero(size > LONG) :]
+        for lo in range(0, len(by), SIDE):
+            self._fresh()
+            mine = by[lo : lo + SIDE]
+            first, n = offsets[mine], size[mine]
+            ends = np.zeros((int(n[0]), len(mine)), np.int32)
+            at, active = np.zeros(len(mine), np.int64), len(mine)
+            for k in range(int(n[0])):
+                active = int(np.searchsorted(-n[:active], -k, "left"))
+                step = self._steps(at[:active] << 8 | body[first[:active] + k])
+                at, ends[k, :active] = step >> 32, step & 0xFFFFFFFF
+            # From the end, an arc of every word at a time.
+            left, open_, turn = n.copy(), np.flatnonzero(n), 0
+            while len(open_):
+                arc = ends[left[open_] - 1, open_]
+                rows.append(mine[open_])
+                places.append(np.full(len(open_), -turn))
+                arcs.append(arc.astype(np.int64))
+                left[open_] -= self.label_size[arc]
+                open_, turn = open_[left[open_] > 0], turn + 1
+        row, place, arc = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, places, arcs))
+        return arc[np.lexsort((place, row))].astype("<u4"), np.bincount(row, minlength=len(size))
+
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if self.marks is None:
@@ -238,7 +307,13 @@ class Automaton:
         return b"".join((*out, self._plain(text[at:] if at else text)))
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, map(str.encode, self.pieces(text))))
+        return self._words(pa.array([w.encode() for w in self.pieces(text)], pa.large_binary()))[0].tobytes()
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the words one after another, where each word's end); each different word is run once."""
+        body, edges, which = textbuf.different(words)
+        flat, size = self.paths(body, edges)
+        return gathered(flat, size, which)
 
     def pieces(self, text: str) -> list[str]:
         """The pre-split words; together they are the text."""
@@ -309,21 +384,17 @@ class Automaton:
         if not len(raw):
             return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
         begin = self.word_starts(raw, offsets)
-        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
-        coded = list(map(self.words.__getitem__, words.dictionary.to_pylist()))
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        which = words.indices.to_numpy(zero_copy_only=False)
-        ids, total = gathered(np.frombuffer(b"".join(coded), "<u4"), size, which)
+        ids, total = self._words(pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(raw))), pa.py_buffer(raw)]))
         return ids, np.diff(np.append(0, total)[np.searchsorted(begin, offsets)])
 
     def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the bytes of all texts one after another, where each begins): the labels of the arcs."""
-        parts, sizes = [], [np.zeros(1, np.int64)]
-        for lo in range(0, len(ids), GROUP):
-            body, total = gathered(self.label_bytes, self.label_size, ids[lo : lo + GROUP])
-            parts.append(body)
-            sizes.append(total + sizes[-1][-1])
-        return np.concatenate([np.zeros(0, np.uint8), *parts]), np.concatenate(sizes)[np.append(0, np.cumsum(counts))]
+        offsets, parts, sizes = np.append(0, np.cumsum(counts)), [], [np.zeros(1, np.int64)]
+        for i, j in textbuf.doc_groups(offsets, GROUP // 4):
+            part, total = gathered(self.label_bytes, self.label_size, ids[offsets[i] : offsets[j]])
+            parts.append(part)
+            sizes.append(sizes[-1][-1] + np.append(0, total)[offsets[i + 1 : j + 1] - offsets[i]])
+        return np.concatenate([np.zeros(0, np.uint8), *parts]), np.concatenate(sizes)
 
 
 def gathered(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +423,7 @@ def _spec(df: DataFrame, path: str | None):
 
 def id_column(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     """A binary for each text: its ids as little-endian unsigned 32-bit integers."""
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((4 * np.append(0, np.cumsum(counts))).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((4 * np.append(0, np.cumsum(counts))).astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:

@@ -62,9 +62,15 @@ def test_bpe_equals_the_merges_themselves(monkeypatch):
     words = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(1500)] + ["a" * 37, "=" * 61, "abab" * 9]
     expected = [merged(spec, rank, w) for w in words]
     assert [a.path(w.encode()) for w in words] == expected
-    monkeypatch.setattr(bpe, "CACHED_STEPS", 7)  # the byte table begins anew all the time, also inside words
+    flat, size = a.paths(*textbuf.different(pa.array([w.encode() for w in words], pa.large_binary()))[:2])
+    found = {w: x.tolist() for w, x in zip(dict.fromkeys(words), np.split(flat, np.cumsum(size)[:-1]), strict=True)}
+    assert [found[w] for w in words] == expected
+    monkeypatch.setattr(bpe, "MOST_SETS", 7)  # the byte table begins anew all the time, also inside words
+    monkeypatch.setattr(bpe, "SIDE", 5)
     b = bpe.Automaton(json.dumps(spec))
     assert [b.path(w.encode()) for w in words[:300]] == expected[:300]
+    flat, size = b.paths(*textbuf.buffers(pa.array(words[:300], pa.large_string())))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] == expected[:300]
 
 
 def test_bpe_splits_columns_as_the_pattern_does():
