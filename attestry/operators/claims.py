@@ -141,9 +141,3 @@ def f1(gold: Column, found: Column) -> Column:
     """F1 of two arrays as lists of normalised values; null without gold."""
     hits = F.size(F.filter(gold, lambda g: F.array_contains(found, g)))
     return F.when(F.size(gold) == 0, F.lit(None).cast("double")).otherwise(F.when(hits == 0, 0.0).otherwise(2.0 * hits / (F.size(gold) + F.size(found))))
-
-
-def ranked_views(items: DataFrame, views: DataFrame, cap: int) -> DataFrame:
-    """The best items of each view of a small dimension (view, boosted): score plus .4 for items of the boosted category, ``cap`` of them."""
-    scored = items.crossJoin(F.broadcast(views)).withColumn("score", F.round(F.col("score") + F.when(F.col("category") == F.col("boosted"), 0.4).otherwise(0.0), 4))
-    return scored.withColumn("place", F.row_number().over(W.partitionBy("view").orderBy(F.desc("score"), "id")).cast("long")).filter(F.col("place") <= cap).select("view", "place", "id", "score")

@@ -72,29 +72,6 @@ def same_destination(links: DataFrame, group: str, url: str) -> DataFrame:
     return links.groupBy(group).agg(F.count_distinct(url).alias("formats"), F.count_distinct(T.url_key(F.col(url))).alias("places")).filter("formats > 1 AND places = 1").select(group, "formats")
 
 
-def skill_admission(claims: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(id, status, reason, score) of skill claims (id, document, name, section, confidence): known names, names in several documents, then confidence. Short unknown words are noise.
-
-    The dictionary joins by equality; documents are counted by one aggregate a name.
-    """
-    keyed = claims.withColumn("key", T.lookup_key(F.col("name")))
-    seen = keyed.groupBy("key").agg(F.count_distinct("document").alias("documents"))
-    known = dictionary.select(T.lookup_key(F.col("name")).alias("key"), F.lit(True).alias("known")).distinct()
-    c = keyed.join(known, "key", "left").join(seen, "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    compact = F.replace(F.col("key"), F.lit(" "), F.lit(""))
-    noise = ~F.col("known") & ((F.length(compact) <= 2) | ((F.length(compact) <= 4) & F.regexp_like(compact, F.lit("^[a-z]+$"))))
-    skills = F.col("section") == "skills"
-    decided = (
-        F.when(noise, F.struct(F.lit("reject_noise").alias("status"), F.lit("skill_noise_fragment").alias("reason"), F.lit(0.02).alias("score")))
-        .when(F.col("known"), F.struct(F.lit("admit").alias("status"), F.lit("known_skill_dictionary").alias("reason"), F.lit(0.99).alias("score")))
-        .when(F.col("documents") >= 2, F.struct(F.lit("admit").alias("status"), F.lit("seen_in_multiple_documents").alias("reason"), F.lit(0.88).alias("score")))
-        .when(skills & (F.col("confidence") >= 0.72), F.struct(F.lit("admit").alias("status"), F.lit("skills_section_quality").alias("reason"), F.lit(0.84).alias("score")))
-        .when(skills & (F.col("confidence") >= 0.55), F.struct(F.lit("needs_review").alias("status"), F.lit("low_confidence_skill").alias("reason"), F.lit(0.64).alias("score")))
-        .otherwise(F.struct(F.lit("reject_noise").alias("status"), F.lit("unverified_skill_fragment").alias("reason"), F.lit(0.1).alias("score")))
-    )
-    return c.select("id", decided.alias("d")).select("id", "d.*")
-
-
 def page_order(blocks: DataFrame, header_y: float = 120.0, wide: float = 0.72, gap: float = 0.08) -> DataFrame:
     """(page, id, place): headers and wide blocks first, then the columns left of and right of the widest gap, each by y, then x. Blocks: page, page_width, id, x0, y0, width."""
     top = ((F.col("y0") <= header_y) & (F.col("width") >= 0.55 * F.col("page_width"))) | (F.col("width") >= wide * F.col("page_width"))

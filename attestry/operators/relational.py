@@ -54,3 +54,22 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 where both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+
+
+def similar_sets(rows: DataFrame, key: str, items: str, share: int, of: int) -> DataFrame:
+    """(a, b, jaccard) for the pairs a < b of sets (arrays without repeats) with a similarity of ``share`` / ``of`` or more.
+
+    Sets meet where they share one of their rarest items, of each set so many
+    that no such pair misses; a frequent item leads few sets, so it makes few
+    pairs. The sets of a pair that meets are then compared.
+    """
+    exploded = rows.select(F.col(key).alias("key"), F.size(items).alias("n"), F.explode(items).alias("x"))
+    often = exploded.groupBy("x").agg(F.count("*").alias("often"))
+    ranked = exploded.join(often, "x").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("l"))
+    lead = F.col("n") - F.ceil(F.col("n") * share / of).cast("int") + 1
+    first = ranked.select("key", "n", F.explode(F.slice("l", F.lit(1), lead)).alias("e")).select("key", "n", "e.x")
+    one, two = first.select(F.col("key").alias("a"), F.col("n").alias("na"), "x"), first.select(F.col("key").alias("b"), F.col("n").alias("nb"), "x")
+    meet = one.join(two, "x").filter((F.col("a") < F.col("b")) & (of * F.least("na", "nb") >= share * F.greatest("na", "nb"))).select("a", "b").distinct()
+    sets = rows.select(F.col(key).alias("key"), F.col(items).alias("set"))
+    pairs = meet.join(sets.withColumnsRenamed({"key": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"key": "b", "set": "y"}), "b")
+    return pairs.withColumn("jaccard", jaccard(F.col("x"), F.col("y"))).filter(F.col("jaccard") * of >= share).select("a", "b", "jaccard")

@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions import similarity as S
 from attestry.operators.claims import clamp, field_status
-from attestry.operators.order_dependent import sequence_ratio
 from attestry.session import ship
 
 #: The weight of each field in a case's score.
@@ -54,13 +54,13 @@ def set_scores(gold: DataFrame, extracted: DataFrame) -> DataFrame:
     """(case, field, gold_count, extracted_count, matched, score, status) for fields of several items; rows (case, field, at, item) on both sides.
 
     Empty items don't count. Links match by equality, repeats of a gold link
-    each; other fields by similarity. A field without gold isn't scored.
+    each; other fields by the best of the token ratios. A field without gold isn't scored.
     """
     clean = lambda df: df.filter(F.trim(F.coalesce("item", F.lit(""))) != "").select("case", "field", "at", F.lower(F.trim("item")).alias("item"))
     g, e = clean(gold), clean(extracted)
     links = g.filter("field = 'links'").join(e.select("case", "field", "item").distinct(), ["case", "field", "item"], "left_semi").select("case", "field", F.lit(1.0).alias("score"))
     pairs = g.filter("field <> 'links'").alias("g").join(e.alias("e"), ["case", "field"])
-    pairs = pairs.select("case", "field", F.col("g.at").alias("gold_at"), F.col("e.at").alias("found_at"), sequence_ratio(F.col("g.item"), F.col("e.item")).alias("score"), _by_field(LEAST, 0.82).alias("least"))
+    pairs = pairs.select("case", "field", F.col("g.at").alias("gold_at"), F.col("e.at").alias("found_at"), S.compared(S.gold_similarity)(F.col("g.item"), F.col("e.item")).alias("score"), _by_field(LEAST, 0.82).alias("least"))
     matched = links.unionByName(matches_in_order(pairs, ["case", "field"], "gold_at", "found_at", "score", "least").select("case", "field", "score"))
     hits = matched.groupBy("case", "field").agg(F.count("*").alias("matched"), F.avg("score").alias("mean"))
     count = lambda df, name: df.groupBy("case", "field").agg(F.count("*").alias(name))

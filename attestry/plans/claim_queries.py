@@ -143,22 +143,18 @@ def field_scores(spark, d):
     return scored.select("id", F.round("score", 6).alias("score"), C.field_status(F.col("score")).alias("status"))
 
 
-@register("compiled_views", "WITH s AS (SELECT v.view, s.id, round(s.score + CASE WHEN s.category = v.boosted THEN 0.4::DOUBLE ELSE 0 END, 4) AS score FROM (SELECT doc_id AS id, lang AS category, n_chars / 1e5::DOUBLE AS score FROM documents) s, (VALUES ('first', 'de'), ('second', 'es')) AS v(view, boosted)), r AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY score DESC, id) AS place FROM s) SELECT view, place, id, score FROM r WHERE place <= 6")
-def compiled_views(spark, d):
-    items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), (F.col("n_chars") / F.lit(1e5)).alias("score"))
-    return C.ranked_views(items, spark.createDataFrame([("first", "de"), ("second", "es")], "view string, boosted string"), 6)
-
-
 @register("job_match", f"""WITH j AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9+#._-]+'), lambda t: length(t) >= 4))) AS t FROM benchmark),
     w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9+#._-]+'))) AS t FROM documents),
     o AS (SELECT item_id, doc_id, count(*) AS overlap FROM j JOIN w USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS place FROM o) SELECT item_id, doc_id, overlap, place FROM r WHERE place <= 6""")
 def job_match(spark, d):
-    """The six documents that share most different words of four or more signs with an item."""
+    """The six documents that share most different words of four or more signs with an item. The items' words are broadcast below a checked size, so no frequent word gathers the documents."""
     from pyspark.sql import Window as W
 
+    from attestry.operators.matching import BROADCAST_TERMS
+
     j = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda t: F.length(t) >= 4))).alias("t"))
     w = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("t"))
-    overlap = w.join(j, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
+    overlap = w.join(F.broadcast(j) if j.count() <= BROADCAST_TERMS else j, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
     return overlap.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id")).cast("long")).filter("place <= 6")
 
 

@@ -60,21 +60,6 @@ def anomalies(spark, d):
     return P.same_destination(_rows(spark, LINKS), "grp", "url")
 
 
-SKILLS = "(VALUES (1,'d1','PostgreSQL','skills',0.3),(2,'d1','tools','skills',0.8),(3,'d1','xy','skills',0.9),(4,'d2','Data Mesh','other',0.2),(5,'d3','data mesh','other',0.2),(6,'d1','Stream Joins','skills',0.72),(7,'d1','Query Plans','skills',0.55),(8,'d1','Odd Thing','skills',0.54),(9,'d1','/CD','skills',0.9),(10,'d1','abcd','skills',0.9)) AS t(id, document, name, section, confidence)"
-
-
-@register(
-    "admission",
-    f"""WITH c AS (SELECT *, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9+#./ -]+', ' ', 'g'), ' +', ' ', 'g')) AS key FROM {SKILLS}), s AS (SELECT key, count(DISTINCT document) AS n FROM c GROUP BY 1),
-    x AS (SELECT id, section, confidence, n, key IN ('postgresql', 'kafka') AS known, replace(key, ' ', '') AS k FROM c JOIN s USING (key)),
-    r AS (SELECT id, CASE WHEN NOT known AND (length(k) <= 2 OR (length(k) <= 4 AND regexp_matches(k, '^[a-z]+$'))) THEN 'skill_noise_fragment' WHEN known THEN 'known_skill_dictionary' WHEN n >= 2 THEN 'seen_in_multiple_documents' WHEN section = 'skills' AND confidence >= 0.72 THEN 'skills_section_quality' WHEN section = 'skills' AND confidence >= 0.55 THEN 'low_confidence_skill' ELSE 'unverified_skill_fragment' END AS reason FROM x)
-    SELECT id, reason, CASE WHEN reason IN ('skill_noise_fragment', 'unverified_skill_fragment') THEN 'reject_noise' WHEN reason = 'low_confidence_skill' THEN 'needs_review' ELSE 'admit' END AS status,
-    CASE reason WHEN 'skill_noise_fragment' THEN 0.02 WHEN 'known_skill_dictionary' THEN 0.99 WHEN 'seen_in_multiple_documents' THEN 0.88 WHEN 'skills_section_quality' THEN 0.84 WHEN 'low_confidence_skill' THEN 0.64 ELSE 0.1 END::DOUBLE AS score FROM r""",
-)
-def admission(spark, d):
-    return P.skill_admission(_rows(spark, SKILLS), spark.createDataFrame([("PostgreSQL",), ("Kafka",)], "name string"))
-
-
 BLOCKS = "(VALUES (1,600.0,1,20.0,30.0,500.0),(1,600.0,2,20.0,200.0,200.0),(1,600.0,3,340.0,150.0,200.0),(1,600.0,4,22.0,300.0,200.0),(1,600.0,5,341.0,400.0,200.0),(2,600.0,6,20.0,300.0,100.0),(2,600.0,7,400.0,100.0,100.0)) AS t(page, page_width, id, x0, y0, width)"
 
 
@@ -110,13 +95,13 @@ def profile_rollup(spark, d):
     return P.rollup(_rows(spark, FACTS), "profile")
 
 
-@register("wiki_categories", "SELECT source, count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, min(doc_id) AS first, max(n_chars) AS longest FROM documents GROUP BY source")
-def wiki_categories(spark, d):
+@register("source_rollup", "SELECT source, count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, min(doc_id) AS first, max(n_chars) AS longest FROM documents GROUP BY source")
+def source_rollup(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.min("doc_id").alias("first"), F.max("n_chars").alias("longest"))
 
 
-@register("overview_precedence", "SELECT doc_id, coalesce(CASE WHEN toxic = 1 THEN 'manual' END, CASE WHEN quality = 1 THEN 'compiled' END, nullif(CASE WHEN n_chars > 3000 THEN 'canonical' ELSE '' END, ''), 'auto') AS mode FROM documents LEFT JOIN labels USING (doc_id)")
-def overview_precedence(spark, d):
+@register("coalesce_precedence", "SELECT doc_id, coalesce(CASE WHEN toxic = 1 THEN 'manual' END, CASE WHEN quality = 1 THEN 'compiled' END, nullif(CASE WHEN n_chars > 3000 THEN 'canonical' ELSE '' END, ''), 'auto') AS mode FROM documents LEFT JOIN labels USING (doc_id)")
+def coalesce_precedence(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
     mode = F.coalesce(F.when(F.col("toxic") == 1, "manual"), F.when(F.col("quality") == 1, "compiled"), F.when(F.col("n_chars") > 3000, "canonical"), F.lit("auto"))
     return rows.select("doc_id", mode.alias("mode"))

@@ -143,15 +143,12 @@ def union_dedup(spark, d):
 @register(
     "array_overlap_jaccard",
     f"""WITH t AS (SELECT item_id, list_distinct({_TOK}) AS t FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t)) AS i, len(list_distinct(list_concat(a.t, b.t))) AS u FROM t a JOIN t b ON a.item_id < b.item_id)
-    SELECT a, b, round(i / u, 6) AS jaccard FROM p WHERE i > 0""",
+    SELECT a, b, round(i / u, 6) AS jaccard FROM p WHERE 10 * i >= u""",
 )
 def array_overlap_jaccard(spark, d):
+    """Pairs of items that share a tenth of their words."""
     t = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
-    # Pairs come from shared tokens, so items without one never meet.
-    e = t.select("item_id", F.size("t").alias("n"), F.explode("t").alias("x"))
-    l, r = e.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "x"), e.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "x")
-    pairs = l.join(r, "x").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
-    return pairs.select("a", "b", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("jaccard"))
+    return R.similar_sets(t, "item_id", "t", 1, 10).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @register("set_difference", f"SELECT DISTINCT unnest({_TOK}) AS term FROM benchmark EXCEPT SELECT unnest({_TOK}) FROM documents")
@@ -170,8 +167,8 @@ def ttl_expiry(spark, d):
     return table(spark, d, "events").filter(F.col("ts") + F.expr("INTERVAL 30 DAYS") >= F.lit(AS_OF).cast("timestamp")).select("event_id")
 
 
-@register("document_diagnostics", "SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality IS NULL) AS open FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
-def document_diagnostics(spark, d):
+@register("label_counts", "SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality IS NULL) AS open FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def label_counts(spark, d):
     q = F.col("quality")
     return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(q == 1).alias("good"), F.count_if(q == 0).alias("bad"), F.count_if(q.isNull()).alias("open"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestry.functions import text as T
@@ -90,27 +91,33 @@ def hybrid_search(spark, sf_dir):
     return retrieval.hybrid(table(spark, sf_dir, "documents"), v, v.filter("vec_id = 0"), TERMS).select(F.col("doc").alias("doc_id"), "score")
 
 
+#: Chunks that a context of a source is made of: the first ones by its order.
+LISTED = 50
+
+
 def _context(order_sql: str) -> str:
     """Greedy budget with skipping, as recursion over the order's ranks."""
-    return f"""WITH RECURSIVE c AS (SELECT source, doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0b]+'))::BIGINT AS w, row_number() OVER (PARTITION BY source ORDER BY {order_sql}) AS r FROM documents),
+    return f"""WITH RECURSIVE c AS (SELECT source, doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0b]+'))::BIGINT AS w, row_number() OVER (PARTITION BY source ORDER BY {order_sql}) AS r FROM documents QUALIFY r <= 50),
     f AS (SELECT source, r, doc_id, w <= 800 AS kept, CASE WHEN w <= 800 THEN w ELSE 0 END AS total FROM c WHERE r = 1
       UNION ALL SELECT c.source, c.r, c.doc_id, f.total + c.w <= 800, CASE WHEN f.total + c.w <= 800 THEN f.total + c.w ELSE f.total END FROM f JOIN c ON c.source = f.source AND c.r = f.r + 1),
     t AS (SELECT source, max(total)::BIGINT AS total FROM f GROUP BY 1)
     SELECT source, doc_id AS doc, row_number() OVER (PARTITION BY source ORDER BY r) AS citation, t.total FROM f JOIN t USING (source) WHERE kept"""
 
 
-def _chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("doc"), T.word_count(F.col("text")).alias("words"), "n_chars")
+def _chunks(spark, sf_dir, *order):
+    """Each source's list, cut to LISTED before its rows are gathered."""
+    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("doc"), T.word_count(F.col("text")).alias("words"), "n_chars")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(*order))).filter(F.col("rank") <= LISTED)
 
 
 @register("assemble_context_document", _context("doc_id"))
 def assemble_context_document(spark, sf_dir):
-    return retrieval.assembled(_chunks(spark, sf_dir), "source", 800, [F.col("doc").alias("o")])
+    return retrieval.assembled(_chunks(spark, sf_dir, "doc"), "source", 800, [F.col("doc").alias("o")])
 
 
 @register("assemble_context_score", _context("n_chars DESC, doc_id"))
 def assemble_context_score(spark, sf_dir):
-    return retrieval.assembled(_chunks(spark, sf_dir), "source", 800, [(-F.col("n_chars")).alias("o")])
+    return retrieval.assembled(_chunks(spark, sf_dir, F.desc("n_chars"), "doc"), "source", 800, [(-F.col("n_chars")).alias("o")])
 
 
 @register(

@@ -27,7 +27,7 @@ def test_windows_of_few_items(spark):
 
 def test_headings(spark):
     found = lambda line: one(spark, chunking.heading(F.col("a")), a=line)
-    assert [found(x) for x in ("WORK EXPERIENCE:", "My technical skills", "INTERESTS", "plain line", "1. 2.")] == ["experience", "skills", "unknown_section", None, None]
+    assert [found(x) for x in ("WORK EXPERIENCE:", "My technical skills", "INTERESTS", "plain line", "1. 2.")] == ["work_experience", "skills", "unknown_section", None, None]
 
 
 def test_rrf_is_monotone_and_keeps_both_lists(spark):
