@@ -74,18 +74,38 @@ def page_block_order(spark, d):
     return P.page_order(rows.select("page", "id", *[F.col(c).cast("double").alias(c) for c in ("page_width", "x0", "y0", "width")]))
 
 
-FILES = "(VALUES ('cv final.pdf', 10),('../x.TXT', 0),('a b?.md', 99999999),('__.exe', 5),('notes.txt', 7),('???', 3)) AS t(raw, length)"
+FILES = "(VALUES ('cv final.docx', 10),('../x.TXT', 0),('a b?.md', 99999999),('__.exe', 5),('notes.txt', 7),('no/tes.txt', 7),('???', 3),('cv.pdf', 9),('page.html', 9),('k.YAML', 9)) AS t(raw, length)"
 
 
-@register("file_intake", f"""WITH n AS (SELECT raw, length, CASE WHEN trim(regexp_replace(raw, '[^a-zA-Z0-9._-]+', '_', 'g'), '._') = '' THEN 'document' ELSE trim(regexp_replace(raw, '[^a-zA-Z0-9._-]+', '_', 'g'), '._') END AS name FROM {FILES}), m AS (SELECT raw, name, length, CASE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' END AS media_type FROM n)
+@register("file_intake", f"""WITH n AS (SELECT raw, length, CASE WHEN trim(regexp_replace(raw, '[^a-zA-Z0-9._-]+', '_', 'g'), '._') = '' THEN 'document' ELSE trim(regexp_replace(raw, '[^a-zA-Z0-9._-]+', '_', 'g'), '._') END AS name FROM {FILES}), m AS (SELECT raw, name, length, CASE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' WHEN 'yaml' THEN 'application/yaml' END AS media_type FROM n)
 SELECT raw, name, media_type, CASE WHEN length > 26214400 THEN 413 WHEN media_type IS NULL THEN 400 WHEN length = 0 THEN 422 ELSE 200 END AS status FROM m""")
 def file_intake(spark, d):
-    files = _rows(spark, FILES).withColumn("name", D.safe_name(F.col("raw")))
-    kept, rejected = D.accepted(files)
-    out = kept.select("raw", "name").withColumn("status", F.lit(200)).unionByName(rejected.join(files.select("raw", "name"), "name").select("raw", "name", "status"))
+    kept, rejected = D.accepted(_rows(spark, FILES).withColumn("name", D.safe_name(F.col("raw"))))
+    out = kept.select("raw", "name").withColumn("status", F.lit(200)).unionByName(rejected.select("raw", "name", "status"))
     return out.select("raw", "name", D.media_type(F.col("name")).alias("media_type"), "status")
 
 
+@register("name_collisions", "SELECT * FROM (VALUES ('a', 1, 'cv.txt'), ('a', 2, 'cv_1.txt'), ('a', 3, 'cv_2.txt'), ('b', 4, 'cv.txt'), ('a', 5, 'cv'), ('a', 6, 'cv_1')) AS t(folder, position, name)")
+def name_collisions(spark, d):
+    files = spark.createDataFrame([("a", 1, "cv.txt"), ("a", 2, "cv.txt"), ("a", 3, "cv.txt"), ("b", 4, "cv.txt"), ("a", 5, "cv"), ("a", 6, "cv")], "folder string, position int, name string")
+    return D.numbered_names(files, "folder")
+
+
+@register("jsonish_cells", """SELECT * FROM (VALUES (1, '["a", 1]'), (2, '["a", "b"]'), (3, NULL), (4, NULL), (5, '{"k": null}'), (6, NULL), (7, '3')) AS t(id, value)""")
+def jsonish_cells(spark, d):
+    cells = [(1, '["a", 1]'), (2, "['a', 'b']"), (3, "plain words"), (4, None), (5, "{'k': None}"), (6, " "), (7, "3 ")]
+    return spark.createDataFrame(cells, "id int, cell string").select("id", D.jsonish(F.col("cell")).alias("value"))
+
+
+GOLD = "(VALUES ('r1', 'a.pdf'), ('r2', 'b.pdf'), ('r3', ''), ('', 'x.pdf'), (NULL, 'y.pdf')) AS g(resume_id, local_pdf_name)"
+MANIFEST = "(VALUES ('r1', '/data/one.pdf', '/src/one.pdf'), ('r2', ' ', '/src/two.pdf'), ('', '/no', '')) AS m(resume_id, local_pdf_path, source_pdf_path)"
+
+
+@register("manifest_join", f"SELECT g.resume_id, g.local_pdf_name, coalesce(nullif(trim(m.local_pdf_path), ''), nullif(trim(m.source_pdf_path), ''), '/base/sample_pdfs/' || nullif(g.local_pdf_name, ''), '') AS file_path FROM {GOLD} LEFT JOIN {MANIFEST} ON m.resume_id = g.resume_id WHERE g.resume_id <> ''")
+def manifest_join(spark, d):
+    return D.with_manifest(_rows(spark, GOLD), _rows(spark, MANIFEST), "/base/")
+
+
 FACTS = "(VALUES (1,1,'identity','Sample User'),(1,2,'skills','Python'),(1,3,'skills','python'),(1,4,'skills','SQL'),(1,5,'identity',''),(1,6,'identity','Sample B. User'),(2,1,'projects','x')) AS t(profile, at, section, value)"
 
 

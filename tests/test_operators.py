@@ -103,3 +103,25 @@ def test_document_intake(spark, tmp_path):
     (tmp_path / "gold.csv").write_bytes(b'\xef\xbb\xbfid,skills\n1,"[""a"",\n""b""]"\n')
     gold = D.read_gold(spark, str(tmp_path / "gold.csv"))
     assert gold.columns == ["id", "skills"] and gold.first().skills == '["a",\n"b"]'
+
+
+def test_docx_reports_and_jobs(spark, tmp_path):
+    import zipfile
+
+    from attestry.sources import documents as D
+
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    files = tmp_path / "files"
+    files.mkdir()
+    with zipfile.ZipFile(files / "cv.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body><w:p><w:r><w:t>Sample</w:t><w:tab/><w:t>Person</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Engineer</w:t></w:r></w:p></w:body></w:document>')
+    (files / "broken.docx").write_bytes(b"no zip")
+    (files / "job.txt").write_bytes(b"Wanted: \xff an engineer")
+    (files / "blank.md").write_bytes(b" \n")
+    (files / "scan.pdf").write_bytes(b"%PDF-1.4")
+    (files / "page.html").write_bytes(b"<p>x</p>")
+    got = {r.name: r.text for r in D.read_texts(spark, str(files)).collect()}
+    assert got == {"cv.docx": "Sample\tPerson\n\nEngineer", "broken.docx": "", "job.txt": "Wanted:  an engineer", "blank.md": " \n"}
+    assert {r.name for r in D.read_job(spark, str(files)).collect()} == {"cv.docx", "job.txt"}
+    path = D.save_report(spark.createDataFrame([("r1", 0.5)], "case string, score double"), str(tmp_path / "reports"), "20240101T000000Z", "auto")
+    assert D.load_report(spark, str(tmp_path / "reports")).first().asDict() == {"case": "r1", "score": 0.5, "saved_report_path": path}
