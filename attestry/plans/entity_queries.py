@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import similarity as S
-from attestry.operators import clusters, extraction, graph, guards, resolving, views
+from attestry.operators import clusters, extraction, fuse, graph, guards, resolving, views
 from attestry.plans.catalog import register
 from attestry.sources.tables import table
 
@@ -283,3 +283,33 @@ RETRIEVED = """(VALUES ('r', 1, 'c1', 'Built a Python service that cut costs by
 def claim_extraction(spark, d):
     found = extraction.merged(extraction.candidates(_rows(spark, RETRIEVED), "run"), "run", 5)
     return found.select("run", "place", "text", "category", "confidence", F.array_join("skills", ",").alias("skills"), F.array_join("chunks", ",").alias("chunks"))
+
+
+#: profile, id, position, document, quality, section, field, and a value's parts.
+CLAIMS = """(VALUES ('p', 1, 1, 'd1', 0.9::DOUBLE, 'identity', 'full_name', 'Sample Person', '', '', '', '', '', '', '', '', ''), ('p', 2, 2, 'd2', 0.5::DOUBLE, 'identity', 'full_name', 'S. Person', '', '', '', '', '', '', '', '', ''), ('p', 3, 3, 'd1', 0.8::DOUBLE, 'identity', 'headline', 'Data Engineer', '', '', '', '', '', '', '', '', ''),
+ ('p', 4, 4, 'd2', 0.75::DOUBLE, 'identity', 'headline', 'Analyst', '', '', '', '', '', '', '', '', ''), ('p', 5, 5, 'd1', 0.7::DOUBLE, 'identity', 'email', 'A@mail.example', '', '', '', '', '', '', '', '', ''), ('p', 6, 6, 'd1', 0.9::DOUBLE, 'skills', '', '', 'Python', '', '', '', '', '', '', '', ''), ('p', 7, 7, 'd2', 0.9::DOUBLE, 'skills', '', '', 'python', '', '', '', '', '', '', '', ''),
+ ('p', 8, 8, 'd1', 0.6::DOUBLE, 'work_experience', '', '', '', 'Engineer', 'Acme', '2019', 'present', '', '', '', ''), ('p', 9, 9, 'd2', 0.7::DOUBLE, 'work_experience', '', '', '', 'Engineer', 'ACME', '2019', '', '', '', '', ''), ('p', 10, 10, 'd2', 0.5::DOUBLE, 'work_experience', '', '', '', 'Cook', '', '2001', '2002', '', '', '', ''),
+ ('p', 11, 11, 'd1', 0.5::DOUBLE, 'education', '', '', '', '', '', '2010', '2014', '', '', 'BSc', 'State University'), ('p', 12, 12, 'd1', 0.5::DOUBLE, 'projects', '', '', 'Shop', '', '', '', '', '', '', '', ''), ('p', 13, 13, 'd2', 0.6::DOUBLE, 'projects', '', '', 'shop', '', '', '', '', '', '', '', ''),
+ ('p', 14, 14, 'd1', 0.6::DOUBLE, 'public_profiles', '', '', '', '', '', '', '', 'https://www.linkedin.com/in/sample', 'LinkedIn', '', ''), ('p', 15, 15, 'd1', 0.6::DOUBLE, 'public_profiles', '', '', '', '', '', '', '', 'https://github.com/x/y', 'Code', '', ''), ('q', 16, 1, 'd3', 0.4::DOUBLE, 'certifications', '', '', 'Cloud Exam', '', '', '', '', '', '', '', '')
+) AS c(profile, id, position, document, quality, section, field, value, name, title, organization, start_date, end_date, url, label, degree, institution)"""
+
+
+def _claims(spark):
+    empty = {"status": F.lit("suggested"), "confidence": F.lit(0.9), "resolver_confidence": F.lit(0.0), "highlights": F.array().cast("array<string>"), "technologies": F.array().cast("array<string>"), "links": F.array().cast("array<string>"), "block": F.lit(""), "issuer": F.lit(""), "suggested_section": F.lit(""), "summary": F.lit(""), "location": F.lit("")}
+    return _rows(spark, CLAIMS).withColumns(empty)
+
+
+@register(
+    "fuse_profile",
+    """SELECT * FROM (VALUES ('p', 'identity', 'identity:full_name', 'Sample Person', 0.9::DOUBLE, 'merged', NULL, NULL), ('p', 'identity', 'identity:headline', 'Data Engineer', 0.8::DOUBLE, 'review', 'current_headline_conflict', 'critical'), ('p', 'identity', 'identity:email', 'a@mail.example', 0.7::DOUBLE, 'merged', NULL, NULL),
+    ('p', 'skill', 'skill:python', 'Python', round(0.55 * 0.9 + 0.14 + 0.2 + 0.12, 4)::DOUBLE, 'merged', NULL, NULL), ('p', 'work_experience', 'experience:acme:2019', 'Engineer · ACME · 2019 - present', 0.7::DOUBLE, 'merged', NULL, NULL), ('p', 'work_experience', 'experience:cook:2001', 'Cook · 2001 - 2002', 0.5::DOUBLE, 'review', 'missing_organization', 'critical'),
+    ('p', 'education', 'education:state university', 'BSc · State University', 0.5::DOUBLE, 'merged', NULL, NULL), ('p', 'project', 'project:shop', 'Shop', 0.6::DOUBLE, 'merged', NULL, NULL), ('p', 'public_profile', 'public_profile:linkedin', 'https://www.linkedin.com/in/sample', 0.6::DOUBLE, 'merged', NULL, NULL),
+    ('p', 'public_profile', 'ignored_public_profile:github.com/x/y', 'https://github.com/x/y', 0.6::DOUBLE, 'ignored', 'not_a_personal_link', 'optional'), ('q', 'certification', 'certification:cloud exam', 'Cloud Exam', 0.4::DOUBLE, 'merged', NULL, NULL)) AS t(profile, kind, canonical_key, canonical_value, confidence, status, review_reason, review_level)""",
+)
+def fuse_profile(spark, d):
+    return fuse.groups(_claims(spark))
+
+
+@register("canonical_profile", "SELECT * FROM (VALUES ('p', 'Sample Person', 'Data Engineer', 'a@mail.example', 'Python', 1, 1, 1, 0, 1, 2, 0), ('q', NULL, NULL, NULL, '', 0, 0, 0, 1, 0, 0, 0)) AS t(profile, full_name, headline, email, skills, n_work_experience, n_education, n_project, n_certification, n_public_profile, n_critical, n_optional)")
+def canonical_profile(spark, d):
+    return fuse.canonical(fuse.groups(_claims(spark)))
