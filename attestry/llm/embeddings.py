@@ -83,6 +83,30 @@ def _codes(distinct: DataFrame, bits: int, tables: int, single: bool) -> DataFra
     return distinct.select("id", "vector").mapInArrow(run, kind)
 
 
+class Counted(graph.Forest):
+    """Spanning edges, and beside them what each vector's links in these cells add to its count; so every pair is verified."""
+
+    kind = "a long, b long, links long"
+
+    def __init__(self, c: dict[str, np.ndarray]):
+        super().__init__(c)
+        self.times, self.count = c["n"], np.zeros(len(c["id"]), np.int64)
+
+    def open(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.ones(len(a), bool)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        # A step's pairs have each row once on either side.
+        self.count[a] += self.times[b]
+        self.count[b] += self.times[a]
+        super().add(a, b)
+
+    def rows(self) -> pa.RecordBatch:
+        x, y = self.edges()
+        on = np.flatnonzero(self.count)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, self.ids[on]])), pa.array(np.concatenate([y, self.ids[on]])), pa.array(np.concatenate([np.zeros(len(x), np.int64), self.count[on]]))], ["a", "b", "links"])
+
+
 def near_duplicates(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     single = dict(vectors.dtypes)[vec] == "array<float>"
@@ -110,17 +134,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", key: str = "vec_
             out[lo + near[same.argmax(axis=1) == c["table"][x[near]]]] = True
         return out
 
-    def emit(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        """Spanning edges, and beside them what each vector's links in this cell add to its count."""
-        count = np.zeros(len(c["id"]), np.int64)
-        np.add.at(count, a, c["n"][b])
-        np.add.at(count, b, c["n"][a])
-        x, y = graph.forest(c["id"], a, b)
-        on = np.flatnonzero(count)
-        none = np.zeros(len(x), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, c["id"][on]])), pa.array(np.concatenate([y, c["id"][on]])), pa.array(np.concatenate([none, count[on]]))], ["a", "b", "links"])
-
-    found = cut(graph.compare(met, meets, "a long, b long, links long", emit, payload))
+    found = cut(graph.compare(met, meets, Counted, payload))
     counts = found.filter("links > 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     group = graph.components(found.filter("links = 0"))
     classes = sums.join(counts, "id", "left").join(group, F.col("id") == F.col("node"), "left").select("vector", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("class"))

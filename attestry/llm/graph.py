@@ -38,17 +38,41 @@ def in_company(keyed: DataFrame, broadcast_below: int = 1_000_000) -> DataFrame:
     return keyed.join(F.broadcast(keys) if keys.count() <= broadcast_below else keys, "key", "left_semi")
 
 
-def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], kind: str, emit: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch], payload: DataFrame | None = None) -> DataFrame:
-    """Compares the rows (key, id, ...) of each bucket with one another and returns what ``emit`` makes of a batch and its verified pairs.
+class Forest:
+    """What verified pairs connect, as edges to the least row of each tree. Pairs that are connected already aren't verified: a group of near copies costs little more than a comparison a row."""
+
+    kind = "a long, b long"
+
+    def __init__(self, c: dict[str, np.ndarray]):
+        self.ids, self.label = c["id"], np.arange(len(c["id"]))
+
+    def open(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.label[a] != self.label[b]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.label = least_reached(len(self.label), self.label[a], self.label[b])[self.label]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        on = np.flatnonzero(self.label != np.arange(len(self.ids)))
+        return self.ids[on], self.ids[self.label[on]]
+
+    def rows(self) -> pa.RecordBatch:
+        x, y = self.edges()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+
+def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray], found: type[Forest] = Forest, payload: DataFrame | None = None) -> DataFrame:
+    """Compares the rows (key, id, ...) of each bucket with one another and returns what ``found`` makes of a batch and its verified pairs.
 
     ``payload`` (id, ...) is joined to the rows once they have their cells, so
     that what finds the cells moves without it.
 
     Whole cells are gathered from the sorted partition, a batch at a time; at
-    most one cell, of some 2 PIECE rows, waits for its end. verify gets the
-    columns and two index arrays, all calls for a batch with the same columns.
-    Binary columns arrive as rows of unsigned 64-bit integers, shorter values
-    filled up with zeros; lists as (values, offsets).
+    most one cell, of some 2 PIECE rows, waits for its end. Pairs go to ``found``
+    as they are verified and are never listed. verify gets the columns and two
+    index arrays, all calls for a batch with the same columns. Binary columns
+    arrive as rows of unsigned 64-bit integers, shorter values filled up with
+    zeros; lists as (values, offsets).
     """
     ship(rows.sparkSession)
     placed = cells(rows)
@@ -92,7 +116,7 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
         new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1])
         group = np.cumsum(new) - 1
         end = np.append(np.flatnonzero(new)[1:], n)[group]
-        left, right = [], []
+        seen = found(c)
         open_ = np.arange(n)
         step = 1
         while True:
@@ -101,18 +125,16 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
                 break
             a, b = open_, open_ + step
             # Cells of two pieces compare across them only.
-            use = (c["low"][a] == c["high"][a]) | (c["mine"][a] != c["mine"][b])
+            use = ((c["low"][a] == c["high"][a]) | (c["mine"][a] != c["mine"][b])) & seen.open(a, b)
             a, b = a[use], b[use]
-            good = verify(c, a, b)
-            left.append(a[good])
-            right.append(b[good])
+            if len(a):
+                good = verify(c, a, b)
+                if good.any():
+                    seen.add(a[good], b[good])
             step += 1
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        if len(a):
-            yield emit(c, a, b)
+        yield seen.rows()
 
-    return placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, kind)
+    return placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, found.kind)
 
 
 def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,21 +150,9 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, id) that connect what the pairs (a, b) connect: one for each row that isn't the first of its tree."""
-    label = least_reached(len(ids), a, b)
-    on = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[on], ids[label[on]]
-
-
 def links(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Edges (a, b) between ids that connect what the verified pairs connect; at most one for each row of a cell."""
-
-    def emit(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        x, y = forest(c["id"], a, b)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-    return compare(rows, verify, "a long, b long", emit)
+    return compare(rows, verify)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -53,6 +53,7 @@ def text_map(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str):
         apply = make()
         for batch in batches:
             yield apply(batch)
+            pa.default_memory_pool().release_unused()
 
     ship()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -45,7 +45,7 @@ SHARED, PARTS = 4, 5
 #: One of so many texts is looked at for frequent shingles, those that so many of them hold, and so many shingles at most.
 SAMPLED, OFTEN, FREQUENT = 50, 8, 100_000
 #: Hashes whose pairs are counted out at a time.
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 #: The pipeline's fingerprints: nine words, and as many differing bits as sets of similarity 0.8 have at worst (4 of 5 shingles, 108 on average), and six standard deviations more.
 WIDE, WIDE_DISTANCE = 9, 165
 
@@ -171,20 +171,17 @@ def lists(rows: list[np.ndarray]) -> pa.Array:
 def alike(distance: int):
     """Verification by the exact Jaccard similarity of sets of shingles.
 
-    Pairs beyond the Hamming distance, and pairs that verified ones connect
-    already, are not counted out, so a large group of near copies costs little
-    more than one comparison a row.
+    Pairs beyond the Hamming distance are not counted out.
     """
     near = close(distance)
 
     def verify(c: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         values, offsets = c["shingles"]
-        if "tree" not in c:
-            c["tree"] = np.arange(len(c["id"]))
+        if "rank" not in c:
             c["rank"] = np.unique(values[offsets[0] : offsets[-1]], return_inverse=True)[1].astype(np.int64)
         sizes = np.diff(offsets)
         at = offsets[:-1].astype(np.int64) - offsets[0]
-        good = (c["tree"][a] != c["tree"][b]) & (PARTS * np.minimum(sizes[a], sizes[b]) >= SHARED * np.maximum(sizes[a], sizes[b]))
+        good = PARTS * np.minimum(sizes[a], sizes[b]) >= SHARED * np.maximum(sizes[a], sizes[b])
         good[good] = near(c, a[good], b[good])
         todo = np.flatnonzero(good)
         total = np.cumsum((sizes[a[todo]] + sizes[b[todo]]).astype(np.int64))
@@ -200,9 +197,6 @@ def alike(distance: int):
             both = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=len(part))
             good[part] = PARTS * both >= SHARED * (n[: len(part)] + n[len(part) :] - both)
             lo = hi
-        if good.any():
-            tree = c["tree"]
-            c["tree"] = graph.least_reached(len(tree), tree[a[good]], tree[b[good]])[tree]
         return good
 
     return verify
