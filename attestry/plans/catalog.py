@@ -26,7 +26,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from attestry.plans import claim_queries, detail_queries, entity_queries, fusion_queries, profile_queries, relational_queries, resume_queries, retrieval_queries, review_queries, search_queries, text_queries  # noqa: F401
+    from attestry.plans import claim_queries, detail_queries, entity_queries, fusion_queries, overview_queries, profile_queries, relational_queries, resume_queries, retrieval_queries, review_queries, search_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Builder]:
