@@ -64,3 +64,25 @@ def rendered(parsed_: Column) -> Column:
         part("WORK EXPERIENCE", F.flatten(F.transform(parsed_["work"], entry))), part("PROJECTS", F.flatten(F.transform(parsed_["projects"], lambda r: F.concat(F.array(F.lit("")), entry(r))))),
         part("EDUCATION", F.transform(parsed_["education"], lambda r: line(" | ", r["degree"], r["institution"], span(r)))), part("CERTIFICATIONS", F.transform(parsed_["certifications"], lambda r: line(" | ", r["name"], r["issuer"], r["start_date"]))),
     )
+
+
+def claims(df: DataFrame, key: str, profile: str, text: str) -> DataFrame:
+    """A row for each thing that résumés (key, profile, text) say, as the merges take them: section, field, the parts of its value, its signature and how sure it is."""
+    whole = df.select(F.col(key).alias("document"), F.col(profile).alias("profile"), parsed(F.col(text)).alias("p")).withColumn("base", F.lit(68))
+    none, empty = F.lit("").cast("string"), F.array().cast("array<string>")
+    names = ["value", "name", "title", "organization", "location", "start_date", "end_date", "summary", "url", "label", "degree", "institution", "issuer"]
+    row = lambda section, field="", lists=None, sure=None, **parts: F.struct(F.lit(section).alias("section"), F.lit(field).alias("field"), *[F.coalesce(parts.get(n, none), none).alias(n) for n in names], *[(lists or {}).get(n, empty).alias(n) for n in ("technologies", "highlights", "links")], (F.lit(0.0) if sure is None else sure).alias("given"))
+    i, p = F.col("p.identity"), F.col("p")
+    one = lambda field, value: F.filter(F.array(row("identity", field, value=value)), lambda r: r["value"] != "")
+    entry = lambda section, r, **parts: row(section, "entry", {"highlights": r["highlights"], "links": r["links"], "technologies": C.skills(F.array_join(r["highlights"], " "))}, r["confidence"], organization=r["organization"], location=r["location"], start_date=r["start_date"], end_date=r["end_date"], summary=r["summary"], **parts)
+    every = F.concat(
+        *[one(f, i[f]) for f in ("full_name", "headline", "location", "summary")], one("email", F.get(i["emails"], F.lit(0))), one("phone", F.get(i["phones"], F.lit(0))),
+        F.transform(i["links"], lambda u: row("public_profiles", url=u)), F.transform(p["skills"], lambda s: row("skills", name=s)), F.transform(p["work"], lambda r: entry("work_experience", r, title=r["title"])),
+        F.transform(p["projects"], lambda r: entry("projects", r, name=r["title"])), F.transform(p["education"], lambda r: row("education", "entry", degree=r["degree"], institution=r["institution"], start_date=r["start_date"], end_date=r["end_date"])),
+        F.transform(p["certifications"], lambda r: row("certifications", "entry", name=r["name"], issuer=r["issuer"], start_date=r["start_date"])),
+    )
+    rows = whole.select("document", "profile", "base", F.posexplode(every).alias("position", "c")).select("document", "profile", "base", "position", "c.*")
+    has = {n: F.col(n) != "" for n in names} | {"highlights": F.size("highlights") > 0}
+    sure = details.claim_confidence(F.col("section"), has, F.col("base"), F.col("given"))
+    signature = F.substring(F.lower(F.concat_ws("|", "section", "field", F.to_json(F.struct(*sorted(names))))), 1, 512)
+    return rows.withColumns({"confidence": sure, "signature": signature, "id": F.xxhash64("document", "position"), "resolver_confidence": F.lit(0.0), "status": F.lit("suggested"), "suggested_section": F.lit(""), "block": F.lit("")}).withColumn("quality", F.col("confidence")).drop("base", "given")

@@ -97,3 +97,22 @@ def resume_validation(spark, d):
 def resume_render(spark, d):
     """Tests parse the rendered text again."""
     return _texts(spark).select("id", resumes.rendered(resumes.parsed(F.col("text"))).alias("text"))
+
+
+@register(
+    "structured_claims",
+    """SELECT * FROM (VALUES (1, 'certifications', 1, 0.8::DOUBLE), (1, 'education', 1, 0.8::DOUBLE), (1, 'identity', 6, 0.76::DOUBLE), (1, 'projects', 1, 0.84::DOUBLE), (1, 'public_profiles', 1, 0.76::DOUBLE), (1, 'skills', 5, 0.74::DOUBLE), (1, 'work_experience', 2, 0.98::DOUBLE),
+    (2, 'identity', 1, 0.76::DOUBLE), (2, 'projects', 3, 0.84::DOUBLE), (2, 'work_experience', 3, 0.98::DOUBLE)) AS t(document, section, n, best)""",
+)
+def structured_claims(spark, d):
+    found = resumes.claims(_texts(spark).withColumn("profile", F.lit("p")), "id", "profile", "text")
+    return found.groupBy("document", "section").agg(F.count("*").cast("int").alias("n"), F.max("confidence").alias("best"))
+
+
+@register("texts_to_profile", "SELECT * FROM (VALUES ('a', 'SAMPLE PERSON', 'Data Engineer', 'sample@mail.example', 2, 1, 1, 1, 0, 0), ('b', 'Other Person', NULL, NULL, 3, 0, 3, 0, 0, 0)) AS t(profile, full_name, headline, email, n_work_experience, n_education, n_project, n_certification, n_public_profile, n_critical)")
+def texts_to_profile(spark, d):
+    """From résumé texts over claims, clusters and merges to the canonical row."""
+    from attestry.operators import fuse
+
+    texts = _texts(spark).withColumn("profile", F.when(F.col("id") == 1, "a").otherwise("b"))
+    return fuse.canonical(fuse.groups(resumes.claims(texts, "id", "profile", "text"))).drop("skills", "n_optional")
