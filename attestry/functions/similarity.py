@@ -125,18 +125,6 @@ def same_claim(a: str, b: str, skills_a: list[str], skills_b: list[str]) -> bool
     return len(x & y) / min(len(x), len(y)) >= 0.8 and (bool(set(skills_a) & set(skills_b)) or near >= 0.86)
 
 
-def name_similarity(a: str, b: str) -> float:
-    """1 for equal names without sounds of form (case, signs), 0.9 where one holds the other whole, else the Jaccard similarity of their words."""
-    x, y = lookup(a).split(), lookup(b).split()
-    if not x or not y:
-        return 0.0
-    if x == y:
-        return 1.0
-    if " ".join(x) in " ".join(y) or " ".join(y) in " ".join(x):
-        return 0.9
-    return len(set(x) & set(y)) / len(set(x) | set(y))
-
-
 def compared(measure: Callable[[str, str], float]):
     """``measure`` as a function of two text columns; nulls are empty."""
 

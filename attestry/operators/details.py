@@ -13,6 +13,8 @@ from attestry.functions import text as T
 #: Words of organizations, and verbs that begin an achievement.
 STUB = r"(?i)\b(pvt|ltd|limited|inc|llc|corp|l\.l\.c|navy|army|defence|defense)\b"
 VERBS = r"(?i)^(built|developed|designed|implemented|created|led|managed|optimized|deployed|architected|delivered|worked|contributed|maintained|researched|analyzed|improved|automated|integrated|launched|coordinated|supported|established|drove|scaled|reduced|increased|achieved|spearheaded|extended|diagnosed|fixed|conducted|authored|co-authored|migrated|refactored|streamlined|documented|monitored|evaluated|trained|fine-tuned|ingested|processed)\b"
+#: Words that say the form of an organization.
+NOISE = ["pvt", "ltd", "limited", "inc", "llc", "corp", "co", "the", "and", "of", "for", "a", "an", "is", "consultants", "consultant", "technologies", "tech", "solutions", "services", "private"]
 #: The order of articles.
 CATALOG = ["profile", "skills", "projects", "work-experience", "education", "certifications", "general"]
 #: The checks of a parse, and fields that complete an entry.
@@ -26,6 +28,38 @@ def smart_title(value: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
 
 
+def name_tokens(name: Column) -> Column:
+    """Different words of two and more signs that say more than the form of an organization."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9_\s]", " "), r"\s+"), lambda t: F.length(t) > 1)
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(x) for x in NOISE]))
+
+
+def same_name(a: Column, b: Column, least: float = 0.4) -> Column:
+    """Whether two names likely are one: equal, one of more than five signs inside the other, a common word of five signs, or a Jaccard similarity of the words."""
+    x, y = T.normalized(F.coalesce(a, F.lit(""))), T.normalized(F.coalesce(b, F.lit("")))
+    short, long_ = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    s, t = name_tokens(a), name_tokens(b)
+    both = F.array_intersect(s, t)
+    union = F.size(F.array_union(s, t))
+    return (x != "") & (y != "") & ((x == y) | ((F.length(short) > 5) & F.contains(long_, short)) | F.exists(both, lambda w: F.length(w) >= 5) | ((F.size(s) > 0) & (F.size(t) > 0) & (F.size(both) >= least * union)))
+
+
+def one_job(entries: DataFrame, tolerance: int = 6) -> DataFrame:
+    """(a, b) of a profile's entries (profile, id, organization, start_date, end_date) with one name whose months overlap, ``tolerance`` apart at most; entries without a year don't count."""
+    pairs = entries.alias("x").join(entries.alias("y"), F.expr("x.profile = y.profile AND x.id < y.id"))
+    at = lambda side, c: T.year_month(F.coalesce(F.col(f"{side}.{c}"), F.lit("")))
+    a0, a1, b0, b1 = at("x", "start_date"), at("x", "end_date"), at("y", "start_date"), at("y", "end_date")
+    return pairs.filter(same_name(F.col("x.organization"), F.col("y.organization")) & (a0 > 0) & (b0 > 0) & (a0 - tolerance <= b1) & (b0 - tolerance <= a1)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def backend(requested: Column, stored: Column, configured: Column, pdf: Column, available: list[str], auto: str = "auto", plain: str = "layout", structured: str = "structured") -> Column:
+    """The parser to use: the requested one, the document's, the configured one; with none of these the structured one for PDF files and images, else the plain one. An unavailable request is null."""
+    known = lambda c: c.isin(*available)
+    best = F.when(pdf & F.lit(structured in available), F.lit(structured)).otherwise(F.lit(plain))
+    asked = F.coalesce(requested, F.lit(auto))
+    return F.when((asked != auto) & known(asked), asked).when(asked != auto, F.lit(None).cast("string")).when(known(stored), stored).when(known(configured), configured).otherwise(best)
+
+
 def bullets(items: Column, summary: Column) -> Column:
     """Bullets without marks; too short ones, names of organizations, repeats and sentences of the summary go."""
     clean = F.filter(F.transform(items, lambda b: F.regexp_replace(b, r"^[\s•·–*-]+|[\s•·–*-]+$", "")), lambda b: F.length(b) >= 5)

@@ -37,3 +37,11 @@ def cascaded(gone: DataFrame, key: str, **children: DataFrame) -> dict[str, Data
 def default_profile(profiles: DataFrame) -> DataFrame:
     """Each user's first profile (user, profile, name, created): the oldest, of equally old ones the first by name."""
     return profiles.groupBy("user").agg(F.min_by("profile", F.struct("created", "name", "profile")).alias("profile"))
+
+
+def resolved(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(id, profile, status) of requests (id, user, profile): the user's own profile, the default one where none is named, 404 for another's, unknown ones and users without any."""
+    owned = profiles.select(F.col("user").alias("u"), F.col("profile").alias("p"))
+    named = requests.join(owned, (F.col("user") == F.col("u")) & (F.col("profile") == F.col("p")), "left").join(default_profile(profiles).withColumnsRenamed({"user": "du", "profile": "dp"}), F.col("user") == F.col("du"), "left")
+    found = F.when(F.coalesce("profile", F.lit("")) == "", F.col("dp")).otherwise(F.col("p"))
+    return named.select("id", found.alias("profile"), F.when(found.isNull(), 404).otherwise(200).alias("status"))

@@ -180,3 +180,26 @@ def field_coverage(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     filled = lambda c: F.count(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), 1)).alias(c)
     return rows.agg(*[filled(c) for c in ("quality", "toxic", "lang", "text")])
+
+
+NAMES = "(VALUES (1, 'Acme Pvt Ltd', 'ACME'), (2, 'Suvens', 'Suvens Consultant Pvt Ltd'), (3, 'Blue River Labs', 'River Works'), (4, 'The Co', 'A Ltd'), (5, '', 'x'), (6, 'Alpha Beta', 'Beta Gamma'), (7, 'Red Ink', 'Red Ink Inc'), (8, 'ab cd ef', 'ab cd gh')) AS n(id, a, b)"
+
+
+@register("same_names", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, false), (6, false), (7, true), (8, true)) AS t(id, same)")
+def same_names(spark, d):
+    return _rows(spark, NAMES).select("id", details.same_name(F.col("a"), F.col("b")).alias("same"))
+
+
+JOBS_HELD = "(VALUES ('p', 1, 'Acme Works', 'Jan 2019', 'Dec 2020'), ('p', 2, 'ACME works Ltd', 'Mar 2021', 'present'), ('p', 3, 'Acme Works', 'Mar 2023', ''), ('p', 4, 'Acme Works', 'unknown', '2020'), ('q', 5, 'Acme Works', '2019', '2020'), ('p', 6, 'Other House', '2019', '2020')) AS e(profile, id, organization, start_date, end_date)"
+
+
+@register("entry_merge_pairs", f"WITH m AS (SELECT *, CASE id WHEN 1 THEN 2019 * 12 + 1 WHEN 2 THEN 2021 * 12 + 3 WHEN 3 THEN 2023 * 12 + 3 WHEN 4 THEN 0 ELSE 2019 * 12 + 6 END AS s, CASE id WHEN 1 THEN 2020 * 12 + 12 WHEN 2 THEN 9999 * 12 WHEN 3 THEN 9999 * 12 ELSE 2020 * 12 + 6 END AS e FROM {JOBS_HELD}) SELECT x.id AS a, y.id AS b FROM m x JOIN m y ON x.profile = y.profile AND x.id < y.id AND contains(lower(x.organization), 'acme') = contains(lower(y.organization), 'acme') AND x.s > 0 AND y.s > 0 AND x.s - 6 <= y.e AND y.s - 6 <= x.e")
+def entry_merge_pairs(spark, d):
+    return details.one_job(_rows(spark, JOBS_HELD))
+
+
+@register("parser_backend", "SELECT * FROM (VALUES (1, 'layout'), (2, NULL), (3, 'structured'), (4, 'structured'), (5, 'layout'), (6, 'layout')) AS t(id, backend)")
+def parser_backend(spark, d):
+    rows = [(1, "layout", "structured", "auto", True), (2, "other", None, "auto", True), (3, None, "structured", "layout", False), (4, "auto", None, "auto", True), (5, None, "gone", "layout", True), (6, None, None, "auto", False)]
+    df = spark.createDataFrame(rows, "id int, requested string, stored string, configured string, pdf boolean")
+    return df.select("id", details.backend(F.col("requested"), F.col("stored"), F.col("configured"), F.col("pdf"), ["layout", "structured"]).alias("backend"))

@@ -45,7 +45,7 @@ PAIRS = "(VALUES (1, 'fast api', 'fastapi'), (2, 'new york mets', 'new york mets
 @register("fuzzy_ratios")
 def fuzzy_ratios(spark, d):
     """Token ratios of pairs; tests hold them against definitions by edit distance."""
-    measures = {"weighted": S.weighted_ratio, "sort": S.token_sort_ratio, "set": S.token_set_ratio, "part": S.partial_ratio, "gold": S.gold_similarity, "claim": S.claim_similarity, "name": S.name_similarity}
+    measures = {"weighted": S.weighted_ratio, "sort": S.token_sort_ratio, "set": S.token_set_ratio, "part": S.partial_ratio, "gold": S.gold_similarity, "claim": S.claim_similarity}
     return _rows(spark, PAIRS).select("id", *[F.round(S.compared(m)(F.col("a"), F.col("b")), 6).alias(n) for n, m in measures.items()])
 
 
@@ -179,6 +179,12 @@ def default_profile(spark, d):
     return guards.default_profile(_rows(spark, PROFILES.replace("user", "`user`")))
 
 
+@register("tenant_lookup", "SELECT * FROM (VALUES (1, 'a', 200), (2, NULL, 404), (3, 'b', 200), (4, NULL, 404), (5, 'f', 200)) AS t(id, profile, status)")
+def tenant_lookup(spark, d):
+    requests = spark.createDataFrame([(1, "u", "a"), (2, "u", "c"), (3, "u", None), (4, "x", None), (5, "w", "")], "id int, user string, profile string")
+    return guards.resolved(requests, _rows(spark, PROFILES.replace("user", "`user`")))
+
+
 ENTRIES = """(VALUES ('p', 1, 1, 'Engineer', 'Acme', '', 'Built RAG and OCR services', ['Python', 'FastAPI'], ['a', 'b'], [], '2020', 'present'), ('p', 2, 2, 'Developer', 'Beta', '', 'React and Angular shops', ['React'], [], [], '2016', '2019'), ('p', 3, 3, 'Intern', 'Gamma', '', 'css', [], [], [], '2014', '2015'),
  ('p', 4, 4, 'Cook', 'Diner', '', '', [], [], [], '2010', '2012'), ('p', 5, 5, 'Clerk', 'Office', '', 'docker at work', [], ['x'], [], '2012', '2014'), ('p', 6, 6, 'Guide', 'Museum', '', '', [], [], [], '2008', '2009')) AS e(profile, id, position, title, organization, name, summary, technologies, highlights, links, start_date, end_date)"""
 PROJECTS = """(VALUES ('p', 1, 1, '', '', 'Search', 'RAG over notes', ['Python', 'Redis'], [], ['http://x.example'], '', ''), ('p', 2, 2, '', '', 'Shop', 'React and Angular', ['React', 'CSS', 'Node'], [], [], '', ''), ('p', 3, 3, '', '', 'Blog', 'plain pages', [], [], [], '', ''), ('p', 4, 4, '', '', 'Alpha', 'plain pages', [], [], [], '', ''), ('p', 5, 5, '', '', 'Zeta', 'docker', ['Docker'], [], [], '', '')) AS e(profile, id, position, title, organization, name, summary, technologies, highlights, links, start_date, end_date)"""

@@ -167,3 +167,20 @@ RESUMES = r"""(VALUES (1, 'Sample User\nSUMMARY\nBuilds data tools for teams eve
 def chunk_section(spark, sf_dir):
     rows = spark.sql(f"SELECT id, replace(body, '\\\\n', '\\n') AS body FROM {RESUMES}")
     return chunking.sections(rows, "id", "body")
+
+
+@register(
+    "embedding_cache",
+    f"""WITH t AS (SELECT doc_id, sha256(text) AS checksum, {_TOK} AS t FROM documents), v AS (SELECT doc_id, checksum, list_transform(range(16), lambda k: len(list_filter(t, lambda x: strpos('0123456789abcdef', substr(md5(x), 1, 1)) - 1 = k))::DOUBLE) AS c FROM t),
+    n AS (SELECT doc_id, checksum, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM v)
+    SELECT doc_id, checksum, CASE WHEN doc_id % 3 = 0 THEN -1.0 ELSE round(CASE WHEN n > 0 THEN c[1] / n ELSE 0 END, 6) END::DOUBLE AS first FROM n""",
+)
+def embedding_cache(spark, sf_dir):
+    """A third of the vectors are stored for the very text, a third for another text, and a third not at all."""
+    from attestry.operators import embedding
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = F.sha2(F.col("text").cast("binary"), 256)
+    stored = docs.filter("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, known).otherwise(F.lit("another")).alias("checksum"), F.array(F.lit(-1.0)).alias("vector"))
+    found = embedding.ensured(stored, docs, key="doc_id")
+    return found.select("doc_id", "checksum", F.round(F.get("vector", F.lit(0)), 6).alias("first"))
