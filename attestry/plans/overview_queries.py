@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.operators import overview
+from attestry.operators import deciding, overview
 from attestry.plans.catalog import register
 from attestry.sources.tables import table
 
@@ -100,3 +100,41 @@ LINES = """(VALUES ('p', 'work-experience', 1, 'Dev', 'Acme', '2019', 'present',
 @register("wiki_articles", "SELECT profile, slug, n::BIGINT AS n, body FROM (VALUES ('p', 'work-experience', 2, '- Dev at Acme (2019 - present): Built it' || chr(10) || '- Role'), ('p', 'education', 1, '- BSc, Some School in Physics'), ('p', 'projects', 1, '- Shop: Sells (a, b, c, d, e)'), ('q', 'certifications', 1, '- Exam, Board')) AS t(profile, slug, n, body)")
 def wiki_articles(spark, d):
     return overview.articles(_rows(spark, LINES))
+
+
+CONTACTS = "(VALUES (1, 'email', ' A@Mail.Example ', ''), (2, 'email', 'no mail', ''), (3, 'url', 'www.github.com/x.', 'Code'), (4, 'url', 'https://site.example', 'Site'), (5, 'url', '', ''), (6, 'phone', '+1 (212) 555-0187', ''), (7, 'phone', '555', ''), (8, 'location', 'new  delhi', ''), (9, 'location', 'Nowhere', ''), (10, 'other', 'x', ''), (11, 'url', 'https://linkedin.com/in/x', 'LinkedIn')) AS c(id, kind, raw, label)"
+
+
+@register(
+    "field_decisions",
+    """SELECT * FROM (VALUES (1, 'a@mail.example', NULL, 'auto_correct', 0.99::DOUBLE, 2), (2, 'no mail', NULL, 'needs_review', 0.42::DOUBLE, 0), (3, 'https://www.github.com/x', 'GitHub', 'auto_correct', 0.98::DOUBLE, 2), (4, 'https://site.example', 'Site', 'keep', 0.98::DOUBLE, 2), (5, '', '', 'needs_review', 0.35::DOUBLE, 0), (6, '+12125550187', NULL, 'suggest', 0.78::DOUBLE, 1),
+    (7, '555', NULL, 'needs_review', 0.25::DOUBLE, 0), (8, 'New Delhi', NULL, 'suggest', 0.84::DOUBLE, 1), (9, 'Nowhere', NULL, 'keep', 0.58::DOUBLE, 1), (10, 'x', NULL, 'keep', 0.4::DOUBLE, 0), (11, 'https://linkedin.com/in/x', 'LinkedIn', 'keep', 0.98::DOUBLE, 2)) AS t(id, value, label, action, confidence, n_evidence)""",
+)
+def field_decisions(spark, d):
+    rows = _rows(spark, CONTACTS).select("id", deciding.contact(F.col("kind"), F.col("raw"), F.col("label"), ["delhi", "london"]).alias("d"))
+    return rows.select("id", "d.value", "d.label", "d.action", "d.confidence", F.size("d.evidence").alias("n_evidence"))
+
+
+RECORDS = "(VALUES ('p', 1, 'Dev', 'Acme', '2019', '2020'), ('p', 2, '', 'Beta Works', '', ''), ('p', 3, 'Cook', 'Diner', '1999', ''), ('q', 4, 'Dev', 'Acme', '2019', '2020')) AS r(profile, id, title, organization, start_date, end_date)"
+HINTS = "(VALUES ('p', 11, 'Senior Dev', 'Acme Ltd', '2019', ''), ('p', 12, 'Dev', 'Acme', '2019', '2020'), ('p', 13, 'Lead', 'Beta', '', ''), ('p', 14, 'Guide', 'Museum', '1999', '')) AS h(profile, id, title, organization, start_date, end_date)"
+_NEAR = "CASE WHEN {0} <> '' AND {1} <> '' AND (contains(lower({0}), lower({1})) OR contains(lower({1}), lower({0}))) THEN {2}::DOUBLE WHEN {0} = '' AND {1} <> '' THEN 0.05::DOUBLE ELSE 0 END"
+
+
+@register("hint_match", f"WITH s AS (SELECT r.id, h.id AS hint, round({_NEAR.format('r.organization', 'h.organization', 0.45)} + {_NEAR.format('r.title', 'h.title', 0.35)} + CASE WHEN r.start_date <> '' AND r.start_date = h.start_date THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN r.end_date <> '' AND r.end_date = h.end_date THEN 0.15::DOUBLE ELSE 0 END, 4) AS score FROM {RECORDS} JOIN {HINTS} ON r.profile = h.profile), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, hint) AS n FROM s) SELECT id, hint, score FROM b WHERE n = 1 AND score >= 0.4")
+def hint_match(spark, d):
+    return deciding.hinted(_rows(spark, RECORDS), _rows(spark, HINTS))
+
+
+@register("repository_links", "SELECT * FROM (VALUES (1, 'http://a.example,https://github.com/x/note-search'), (2, ''), (3, '')) AS t(id, links)")
+def repository_links(spark, d):
+    projects = spark.createDataFrame([("p", 1, "Note Search", ["http://a.example"]), ("p", 2, "Ledger", None), ("q", 3, "Note Search", [])], "profile string, id int, name string, links array<string>")
+    links = spark.createDataFrame([("p", "https://github.com/x/note-search"), ("p", "https://github.com/x/other"), ("p", None)], "profile string, url string")
+    return deciding.with_repositories(projects, links).select("id", F.array_join("links", ",").alias("links"))
+
+
+@register("group_focus", "WITH w AS (SELECT id, o_orderpriority AS focus, round(sum(0.5 + (o_orderkey % 7) / 14.0::DOUBLE), 6) AS w FROM (SELECT DISTINCT l_suppkey AS id, l_orderkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, focus) AS n FROM w) SELECT id, focus FROM r WHERE n = 1")
+def group_focus(spark, d):
+    """Suppliers stand for groups, orders for their documents."""
+    groups = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("document")).distinct()
+    documents = table(spark, d, "orders").select(F.col("o_orderkey").alias("document"), F.col("o_orderpriority").alias("focus"), (0.5 + (F.col("o_orderkey") % 7) / 14.0).alias("quality"))
+    return deciding.focus_of(groups, documents)
