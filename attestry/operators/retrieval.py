@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,21 +11,34 @@ from attestry.functions import text as T
 K1, B = 1.5, 0.75
 
 
-def bm25_scores(docs: DataFrame, terms: list[str], doc: str = "doc_id", body: str = "text") -> DataFrame:
-    """Score of every document that holds a query term.
+def bm25_by_variant(docs: DataFrame, variants: list[list[str]], doc: str = "doc_id", body: str = "text") -> DataFrame:
+    """(variant, doc, score): the score for each list of terms (by its place) of every document that holds one of them.
 
-    The token list is computed once per row and never exploded: term counts are
-    taken by filtering the array, so only matching (document, term) rows are
-    shuffled. Lengths average over all documents, floored at 1.
+    A row's term counts and length are all that scoring needs of it, so there is
+    no shuffle by document or term: one pass counts documents, lengths and
+    document frequencies to a single row, another scores. Lengths average over all
+    documents, floored at 1.
     """
-    wanted = F.array(*[F.lit(t) for t in terms])
-    tok = docs.select(F.col(doc).alias("doc"), T.tokens(F.col(body)).alias("tok"))
-    per_doc = tok.select("doc", F.size("tok").cast("double").alias("len"), F.explode(F.transform(wanted, lambda t: F.struct(t.alias("term"), F.size(F.filter(F.col("tok"), lambda x: x == t)).cast("double").alias("tf")))).alias("e")).select("doc", "len", "e.term", "e.tf").filter("tf > 0")
-    corpus = tok.agg(F.count("*").cast("double").alias("n"), F.greatest(F.avg(F.size("tok")), F.lit(1.0)).alias("avgdl"))
-    df = per_doc.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    stats = df.crossJoin(corpus).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return per_doc.join(stats, "term").groupBy("doc").agg(F.round(F.sum(part), 6).alias("score"))
+    terms = sorted({t for v in variants for t in v})
+    often = lambda tok, term: F.size(F.filter(tok, lambda x: x == F.lit(term))).cast("double")
+    count = lambda tok: F.struct(F.size(tok).cast("double").alias("len"), F.array(*[often(tok, t) for t in terms]).alias("tf"))
+    rows = docs.select(F.col(doc).alias("doc"), T.let(T.tokens(F.col(body)), count).alias("c")).select("doc", "c.len", "c.tf")
+    stats = rows.agg(F.count("*").cast("double").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avgdl"), *[F.count_if(F.get("tf", F.lit(k)) > 0).cast("double").alias(f"df{k}") for k in range(len(terms))])
+
+    def part(k: int) -> Column:
+        tf = F.get("tf", F.lit(k))
+        idf = F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))).otherwise(0.0)
+
+    at = {t: k for k, t in enumerate(terms)}
+    holds = lambda v: F.greatest(*[F.get("tf", F.lit(at[t])) for t in v], F.lit(0.0)) > 0
+    scored = F.array(*[F.struct(F.lit(i).alias("variant"), holds(v).alias("holds"), F.round(sum((part(at[t]) for t in sorted(set(v))), F.lit(0.0)), 6).alias("score")) for i, v in enumerate(variants) if v])
+    return rows.crossJoin(F.broadcast(stats)).select("doc", F.explode(scored).alias("s")).filter("s.holds").select("s.variant", "doc", "s.score")
+
+
+def bm25_scores(docs: DataFrame, terms: list[str], doc: str = "doc_id", body: str = "text") -> DataFrame:
+    """(doc, score) of every document that holds a query term."""
+    return bm25_by_variant(docs, [terms], doc, body).drop("variant")
 
 
 def top(scored: DataFrame, k: int, key: str = "doc") -> DataFrame:

@@ -41,10 +41,12 @@ def scoped(chunks: DataFrame, **scope) -> DataFrame:
 
 def lexical(chunks: DataFrame, queries: list[str], fetch: int, doc: str = "id", body: str = "text") -> DataFrame:
     """(doc, score): the best BM25 score of any variant, of the ``fetch`` best chunks; each variant brings twice as many."""
-    lists = [retrieval.top(retrieval.bm25_scores(chunks, terms(q), doc, body).filter("score > 0"), 2 * fetch) for q in queries if terms(q)]
-    if not lists:
+    asked = [t for q in queries if (t := terms(q))]
+    if not asked:
         return chunks.select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")).limit(0)
-    return retrieval.top(reduce(DataFrame.unionByName, lists).groupBy("doc").agg(F.max("score").alias("score")), fetch)
+    scored = retrieval.bm25_by_variant(chunks, asked, doc, body).filter("score > 0")
+    listed = scored.withColumn("rank", F.row_number().over(W.partitionBy("variant").orderBy(F.desc("score"), "doc"))).filter(F.col("rank") <= 2 * fetch)
+    return retrieval.top(listed.groupBy("doc").agg(F.max("score").alias("score")), fetch)
 
 
 def structural(body: Column, focus: list[str]) -> Column:
