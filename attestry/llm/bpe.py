@@ -72,7 +72,7 @@ GROUP, SIDE = 2 << 20, 1 << 14
 #: A longer word runs alone.
 LONG = 64
 #: Sets and entries at which a worker's byte table begins anew; results don't depend on it.
-MOST_SETS, MOST_STEPS = 300_000, 1 << 20
+MOST_SETS, MOST_STEPS = 200_000, 1 << 19
 NEVER = 1 << 40
 
 

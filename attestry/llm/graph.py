@@ -32,7 +32,7 @@ def cells(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).drop("pieces", "other")
 
 
-def in_company(keyed: DataFrame, broadcast_below: int = 1_000_000) -> DataFrame:
+def in_company(keyed: DataFrame, broadcast_below: int = 100_000) -> DataFrame:
     """The rows (key, id, ...) whose key more than one id has."""
     keys = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key"))
     return keyed.join(F.broadcast(keys) if keys.count() <= broadcast_below else keys, "key", "left_semi")

@@ -122,6 +122,17 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, (counts / counts.sum()).astype(np.float32)
 
 
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bags of all texts one after another, and where each begins; in large arrays, which leave no holes in the driver's memory."""
+    ids, weights, edge = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0]
+    for lo in range(0, len(texts), 256):
+        some = [bag(t) for t in texts[lo : lo + 256]]
+        ids.append(np.concatenate([b for b, _ in some]).astype(np.int32))
+        weights.append(np.concatenate([w for _, w in some]))
+        edge += [edge[-1] + int(x) for x in np.cumsum([len(b) for b, _ in some])]
+    return np.concatenate(ids), np.concatenate(weights), np.array(edge)
+
+
 def fit(texts: list[str], classes: np.ndarray, seed: int = 5, rate: float = 0.5) -> Model:
     """Stochastic gradient descent over shuffled documents with a falling rate."""
     share = (classes.sum() + 1) / (len(classes) + 2)
@@ -130,12 +141,12 @@ def fit(texts: list[str], classes: np.ndarray, seed: int = 5, rate: float = 0.5)
     r = np.random.default_rng(seed)
     vectors = ((r.random((1 << BITS, SIZE), np.float32) - 0.5) / SIZE).astype(np.float32)
     out, bias = np.zeros((2, SIZE), np.float32), np.zeros(2, np.float32)
-    bags = [bag(t) for t in texts]
-    rounds = max(ROUNDS, -(-LEAST_STEPS // len(bags)))
-    steps, done = rounds * len(bags), 0
+    ids_of, weight_of, edge = bags(texts)
+    rounds = max(ROUNDS, -(-LEAST_STEPS // len(texts)))
+    steps, done = rounds * len(texts), 0
     for _ in range(rounds):
-        for k in r.permutation(len(bags)):
-            ids, weight = bags[k]
+        for k in r.permutation(len(texts)):
+            ids, weight = ids_of[edge[k] : edge[k + 1]], weight_of[edge[k] : edge[k + 1]]
             now = rate * (1 - done / steps)
             done += 1
             mean = weight @ vectors[ids]

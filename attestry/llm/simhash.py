@@ -43,7 +43,7 @@ SEED = 42
 #: The pipeline's similarity, as a fraction: SHARED / PARTS.
 SHARED, PARTS = 4, 5
 #: One of so many texts is looked at for frequent shingles, those that so many of them hold, and so many shingles at most.
-SAMPLED, OFTEN, FREQUENT = 50, 8, 100_000
+SAMPLED, OFTEN, FREQUENT = 50, 8, 20_000
 #: Hashes whose pairs are counted out at a time.
 COUNTED = 1 << 19
 #: The pipeline's fingerprints: nine words, and as many differing bits as sets of similarity 0.8 have at worst (4 of 5 shingles, 108 on average), and six standard deviations more.
