@@ -7,9 +7,10 @@ side by side in numpy, since a line feed takes every state back to the start.
 Only at marks the start is found with a reversed automaton, and the longest end
 with the rule's own automaton.
 
-A rule's matches are leftmost, longest and non-overlapping; a rule may not have a
-whole match of its own inside the part of another that precedes that one's
-first possible end. Rules may name a check on the matched text (a failing match
+A rule's matches are leftmost, longest and non-overlapping. Ends are found before
+starts, so a rule may not have a whole match of its own inside the part of
+another that precedes that one's first possible end; such rules are refused
+when they are compiled. Rules may name a check on the matched text (a failing match
 is dropped but uses up its text).
 
 Defined results: null and empty texts have no spans; texts of any length are
@@ -220,12 +221,38 @@ def _minimal(classes: np.ndarray, move: np.ndarray, accepts: np.ndarray) -> Dfa:
     return Dfa(classes, new[group[move[member[order]]]].astype(np.int32), accepts[member[order]])
 
 
+def ends_inside(rule: Rule, one: Dfa | None = None) -> bool:
+    """Whether a match of the rule can end inside another, after that one's start and before its first possible end: a walk over pairs of states, of the match and of all that begin later."""
+    one, later = one or compile_rules((rule,), anywhere=False), compile_rules((rule,), anywhere=True)
+    bytes_ = np.unique(np.column_stack([one.classes, later.classes]), axis=0)
+    live = np.zeros(len(one.move), bool)
+    live[one.accepts > 0] = True
+    while (grown := live | live[one.move].any(axis=1)).sum() > live.sum():
+        live = grown
+    todo = list({(int(one.move[0, a]), 0) for a, _ in bytes_})
+    seen = set(todo)
+    while todo:
+        p, q = todo.pop()
+        if not live[p] or one.accepts[p]:
+            continue
+        if later.accepts[q]:
+            return True
+        for a, b in bytes_:
+            step = int(one.move[p, a]), int(later.move[q, b])
+            if step not in seen:
+                seen.add(step)
+                todo.append(step)
+    return False
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         self.all = compile_rules(rules, anywhere=True)
         self.back = [compile_rules((r,), anywhere=False, back=True) for r in rules]
         self.ahead = [compile_rules((r,), anywhere=False) for r in rules]
+        if inside := [r.kind for r, one in zip(rules, self.ahead, strict=True) if ends_inside(r, one)]:
+            raise ValueError(f"a match may end inside another: {', '.join(inside)}")
         self.checks = [re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.ignore_case else 0)) if r.least else None for r in rules]
         if (self.all.move[:, self.all.classes[10]] != 0).any():
             raise ValueError("a rule matches across line feeds")

@@ -130,6 +130,14 @@ def test_added_secret_kinds():
     assert [k for *_, k in s.spans(raw, off)[0]] == [3, 4, 5]
 
 
+def test_rules_whose_matches_end_inside_others_are_refused():
+    for pattern in ("xay|a", "ab*c|b", "(foo)?bar.baz|bar"):
+        assert secrets.ends_inside(secrets.Rule("r", pattern.replace(".", "-")))
+        with pytest.raises(ValueError):
+            secrets.Scanner((secrets.Rule("r", pattern.replace(".", "-")),))
+    assert not any(secrets.ends_inside(r) for r in secrets.BASE + secrets.MORE + (secrets.Rule("r", "a+b"), secrets.Rule("r", "abc|bcd")))
+
+
 def pii_spans(t):
     out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
