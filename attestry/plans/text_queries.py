@@ -24,9 +24,9 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.normalized(F.col("text")).cast("binary"), 256).alias("normal"))
 
 
-@register("lookup_key", "SELECT doc_id, substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9+#./ -]+', ' ', 'g'), ' +', ' ', 'g')), 1, 80) AS key FROM documents")
+@register("lookup_key", "SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9+#./ -]+', ' ', 'g'), ' +', ' ', 'g'))) AS key FROM documents")
 def lookup_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring(T.lookup_key(F.col("text")), 1, 80).alias("key"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.lookup_key(F.col("text")).cast("binary"), 256).alias("key"))
 
 
 @register("slug", r"SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM benchmark")
