@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.shared import cut, ship
+from attestry.llm.shared import cut, give_back, ship
 
 #: Rows of a bucket that are compared in one piece; larger buckets are cut into pieces and each pair of pieces is a task's matter of its own.
 PIECE = 1024
@@ -106,6 +106,7 @@ def compare(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray
             if last:
                 yield from pairs(table.slice(0, last))
             waiting = table.slice(last)
+            give_back()
         if waiting is not None and len(waiting):
             yield from pairs(waiting)
 

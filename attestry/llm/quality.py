@@ -25,7 +25,9 @@ through.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import labelled, textbuf
-from attestry.llm.shared import column, free_name, text_map
+from attestry.llm.shared import column, free_name, give_back, text_map
 
 TRAIN_ROWS, TRAIN_BYTES = 6000, 48 << 20
 BITS, SIZE, GRAMS = 18, 8, (2, 3, 4, 5)
@@ -122,30 +124,32 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, (counts / counts.sum()).astype(np.float32)
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bags of all texts one after another, and where each begins; in large arrays, which leave no holes in the driver's memory."""
-    ids, weights, edge = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0]
-    for lo in range(0, len(texts), 256):
-        some = [bag(t) for t in texts[lo : lo + 256]]
-        ids.append(np.concatenate([b for b, _ in some]).astype(np.int32))
-        weights.append(np.concatenate([w for _, w in some]))
-        edge += [edge[-1] + int(x) for x in np.cumsum([len(b) for b, _ in some])]
-    return np.concatenate(ids), np.concatenate(weights), np.array(edge)
+def bags(sample: Iterable[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bags of all texts one after another, where each begins, and the classes; texts are let go one by one, and large arrays leave no holes in the driver's memory."""
+    ids, weights, sizes, classes = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0], []
+    rows = iter(sample)
+    while some := list(islice(rows, 128)):
+        made = [bag(t) for t, _ in some]
+        ids.append(np.concatenate([b for b, _ in made]).astype(np.int32))
+        weights.append(np.concatenate([w for _, w in made]))
+        sizes += [len(b) for b, _ in made]
+        classes += [c for _, c in some]
+    return np.concatenate(ids), np.concatenate(weights), np.cumsum(sizes), np.array(classes, np.int64)
 
 
-def fit(texts: list[str], classes: np.ndarray, seed: int = 5, rate: float = 0.5) -> Model:
-    """Stochastic gradient descent over shuffled documents with a falling rate."""
+def fit(sample: Iterable[tuple[str, int]], seed: int = 5, rate: float = 0.5) -> Model:
+    """Stochastic gradient descent over shuffled documents (text, class) with a falling rate."""
+    ids_of, weight_of, edge, classes = bags(sample)
     share = (classes.sum() + 1) / (len(classes) + 2)
     if not len(classes) or classes.min() == classes.max():
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
     r = np.random.default_rng(seed)
     vectors = ((r.random((1 << BITS, SIZE), np.float32) - 0.5) / SIZE).astype(np.float32)
     out, bias = np.zeros((2, SIZE), np.float32), np.zeros(2, np.float32)
-    ids_of, weight_of, edge = bags(texts)
-    rounds = max(ROUNDS, -(-LEAST_STEPS // len(texts)))
-    steps, done = rounds * len(texts), 0
+    rounds = max(ROUNDS, -(-LEAST_STEPS // len(classes)))
+    steps, done = rounds * len(classes), 0
     for _ in range(rounds):
-        for k in r.permutation(len(texts)):
+        for k in r.permutation(len(classes)):
             ids, weight = ids_of[edge[k] : edge[k + 1]], weight_of[edge[k] : edge[k + 1]]
             now = rate * (1 - done / steps)
             done += 1
@@ -165,8 +169,9 @@ def fit(texts: list[str], classes: np.ndarray, seed: int = 5, rate: float = 0.5)
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "quality") -> Model:
     short = docs.filter(F.coalesce(F.octet_length(column(text)), F.lit(0)) <= TRAIN_BYTES // 48)
-    chosen = list(labelled.in_order(labelled.sample(short, labels, label, TRAIN_ROWS, text, doc), TRAIN_BYTES))
-    return fit([t for t, _ in chosen], np.array([c for _, c in chosen], np.int64))
+    model = fit(labelled.in_order(labelled.sample(short, labels, label, TRAIN_ROWS, text, doc), TRAIN_BYTES))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

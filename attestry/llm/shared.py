@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -28,6 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: glibc's call that returns free pages of its heap, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns memory that was freed to the system; else a process keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def column(name: str) -> Column:
     """A column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -53,7 +65,7 @@ def text_map(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str):
         apply = make()
         for batch in batches:
             yield apply(batch)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     ship()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import labelled, textbuf
-from attestry.llm.shared import column, ship, text_map
+from attestry.llm.shared import column, give_back, ship, text_map
 
 TRAIN_ROWS, TRAIN_BYTES = 20_000, 256 << 20
 STEM = 4
@@ -228,6 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
     chance = [n * math.exp(-model.decay * max(x for *_, x in f)) for (n, f), c in zip(found, classes, strict=True) if f and not c]
     model.scale = 1 / max(1e-9, float(np.mean(chance))) if len(chance) >= 20 else 0.1
     model.weights = labelled.logistic(np.array([model.features(*f) for f in found]).reshape(-1, 4), np.array(classes, float))
+    del found
+    give_back()
     return model
 
 
