@@ -13,6 +13,8 @@ from attestry.llm.shared import cut, give_back, ship
 
 #: Rows of a bucket that are compared in one piece; larger buckets are cut into pieces and each pair of pieces is a task's matter of its own.
 PIECE = 1024
+#: Edges that one task solves in arrays, some 100 bytes each.
+FEW = 1 << 20
 #: Oversize buckets that are broadcast by their key; beyond that many the join is shuffled.
 BROADCAST_KEYS = 10_000
 
@@ -156,17 +158,34 @@ def links(rows: DataFrame, verify: Callable[[dict[str, np.ndarray], np.ndarray,
     return compare(rows, verify)
 
 
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (u, v) together."""
+    parts = [(x.column("u").to_numpy(), x.column("v").to_numpy()) for x in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = ids[least_reached(len(ids), at[: len(u)], at[len(u) :])]
+    for lo in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + (1 << 16)]), pa.array(root[lo : lo + (1 << 16)])], ["node", "component"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge to another; the component is its smallest node.
 
-    Alternating large and small stars: every round links each node to the least
-    node that it knows, until all trees are stars. Rounds grow with the
-    logarithm of the nodes. A node's neighbours are never gathered: the least one
-    is an aggregate, written to shared storage, and joined back to the edges, a
-    join whose large partitions can be split.
+    Up to FEW edges, counted, one task holds them in arrays and solves them.
+    Beyond that, alternating large and small stars: every round links each node
+    to the least node that it knows, until all trees are stars. Rounds grow with
+    the logarithm of the nodes. A node's neighbours are never gathered: the least
+    one is an aggregate, written to shared storage, and joined back to the edges,
+    a join whose large partitions can be split. Both ways give the same rows.
     """
+    ship(edges.sparkSession)
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
 
+    if now.count() <= FEW:
+        return cut(now.coalesce(1).mapInArrow(_solved, "node long, component long"))
+
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first())
 

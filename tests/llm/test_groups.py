@@ -25,7 +25,9 @@ def union(n, pairs):
     return [find(x) for x in range(n)]
 
 
-def test_components_of_paths_and_hubs(spark):
+@pytest.mark.parametrize("few", [graph.FEW, 0])
+def test_components_of_paths_and_hubs(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (300, 200)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{x: 100 for x in range(100, 160)}, 200: 200, 300: 200}
